@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from crowdsignal.llm.capping import capped, over_cap
 from crowdsignal.llm.copies import collapsed, copies
+from crowdsignal.llm.encoding import token_counts, token_ids
+from crowdsignal.llm.packing import container_fill, packed
 from crowdsignal.sources.tables import scored_submissions, table
 
 
@@ -30,7 +32,35 @@ def p5_sets(spark: SparkSession, sf: str) -> DataFrame:
     return collapsed(table(spark, sf, "submissions_reddit"), "id", ["title", "selftext"])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_sample, p5_found, p5_sets)}
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The token ids of every document."""
+    return token_ids(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p6_tokens_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and tokens per forum."""
+    docs = table(spark, sf, "documents")
+    named = docs.withColumn("key", F.struct("doc_id", "source"))
+    return token_counts(named, "key", "text").groupBy(F.col("key.source").alias("source")).agg(
+        F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("most_tokens")
+    )
+
+
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of 512 tokens of every document, or of its parts where it is longer."""
+    return packed(_sized(spark, sf), "doc_id", "n_tokens", 512)
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How many containers have how much free space."""
+    return container_fill(p7_containers(spark, sf)).groupBy("free").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n_parts").alias("n_parts"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_sample, p5_found, p5_sets, p6_ids, p6_tokens_by_source, p7_containers, p7_fill)}
 
 _CONTRIBUTOR = "nullif(lower(regexp_replace(trim(author), '^/?u/', '')), '[deleted]')"
 _LEAF = "lower(regexp_replace(coalesce({}, ''), '[^\\pL\\pN]+', '', 'g'))"

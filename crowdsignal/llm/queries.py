@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crowdsignal.llm.capping import capped, over_cap
 from crowdsignal.llm.copies import collapsed, copies
 from crowdsignal.llm.encoding import token_counts, token_ids
+from crowdsignal.llm.mojibake import garbled_documents
 from crowdsignal.llm.packing import container_fill, packed
 from crowdsignal.sources.tables import scored_submissions, table
 
@@ -60,7 +61,17 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return container_fill(p7_containers(spark, sf)).groupBy("free").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n_parts").alias("n_parts"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_sample, p5_found, p5_sets, p6_ids, p6_tokens_by_source, p7_containers, p7_fill)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a stretch that was decoded with the wrong encoding."""
+    return garbled_documents(table(spark, sf, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """These documents with their text restored as far as it can be."""
+    return garbled_documents(table(spark, sf, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_sample, p5_found, p5_sets, p6_ids, p6_tokens_by_source, p7_containers, p7_fill, p8_found, p8_restored)}
 
 _CONTRIBUTOR = "nullif(lower(regexp_replace(trim(author), '^/?u/', '')), '[deleted]')"
 _LEAF = "lower(regexp_replace(coalesce({}, ''), '[^\\pL\\pN]+', '', 'g'))"

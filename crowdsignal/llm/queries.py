@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crowdsignal.llm.abuse import score_content
 from crowdsignal.llm.capping import capped, over_cap
 from crowdsignal.llm.copies import collapsed, copies
 from crowdsignal.llm.encoding import token_counts, token_ids
@@ -13,6 +14,32 @@ from crowdsignal.llm.packing import container_fill, packed
 from crowdsignal.sources.tables import scored_submissions, table
 
 
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Every submission once; deliveries of one id have the same texts and so the same score."""
+    scored = score_content(table(spark, sf, "submissions_reddit"), "id", ["title", "selftext"], table(spark, sf, "moderation_labels"), ["subreddit"])
+    return scored.distinct()
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Submissions with abusive, hateful or sexual content."""
+    scored = score_content(table(spark, sf, "submissions_reddit"), "id", ["title", "selftext"], table(spark, sf, "moderation_labels"))
+    return scored.where("flagged").select("id").distinct()
+
+
+def p1_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The score, kind and language of every submission."""
+    return _scored(spark, sf).drop("subreddit")
+
+
+def p1_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of submissions with such content, per forum."""
+    kinds = {f"n_{k}": F.count_if(F.col("label") == k) for k in ("abuse", "hate", "sexual")}
+    return _scored(spark, sf).groupBy("subreddit").agg(
+        F.count(F.lit(1)).alias("n_submissions"), F.count_if("flagged").alias("n_flagged"), *(c.alias(k) for k, c in kinds.items()),
+        F.avg(F.col("flagged").cast("double")).alias("share"),
+    )
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Submissions that are not kept when each contributor keeps the 25 of highest score."""
     return over_cap(scored_submissions(table(spark, sf, "submissions_reddit")), "contributor", "score", "id", 25).select("id")
@@ -71,7 +98,7 @@ def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
     return garbled_documents(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_sample, p5_found, p5_sets, p6_ids, p6_tokens_by_source, p7_containers, p7_fill, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_rates, p3_found, p3_sample, p5_found, p5_sets, p6_ids, p6_tokens_by_source, p7_containers, p7_fill, p8_found, p8_restored)}
 
 _CONTRIBUTOR = "nullif(lower(regexp_replace(trim(author), '^/?u/', '')), '[deleted]')"
 _LEAF = "lower(regexp_replace(coalesce({}, ''), '[^\\pL\\pN]+', '', 'g'))"

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-RAW_SUBMISSIONS = T.StructType.fromDDL("id string, author string, created string, title string, selftext string, score double, num_comments bigint")
-POSTS = T.StructType.fromDDL("doc_id string, subreddit string, created_utc timestamp, text string, score double, is_comment boolean")
-SCORED = T.StructType.fromDDL(
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "float": T.FloatType(), "bigint": T.LongType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "date": T.DateType()}
+
+
+def _schema(columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(","))])
+
+
+RAW_SUBMISSIONS = _schema("id string, author string, created string, title string, selftext string, score double, num_comments bigint")
+POSTS = _schema("doc_id string, subreddit string, created_utc timestamp, text string, score double, is_comment boolean")
+SCORED = _schema(
     "doc_id string, subreddit string, created_utc timestamp, ticker string, is_comment boolean, doc_score double, score_pos float, score_neg float, score_neu float"
 )
-TICKERS = T.StructType.fromDDL("symbol string, name string, sector string")
-PRICES = T.StructType.fromDDL("date date, symbol string, close double")
+TICKERS = _schema("symbol string, name string, sector string")
+PRICES = _schema("date date, symbol string, close double")
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:

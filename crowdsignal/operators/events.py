@@ -59,8 +59,10 @@ def mean_car_of_all(windows: DataFrame, groups: DataFrame, by: str = "subreddit"
 
 def case_study(cells: DataFrame, closed: DataFrame, start: str, end: str, symbol: str = "GME") -> DataFrame:
     """(d, ticker, n, m, close) of one ticker from ``start`` to ``end``, both included: of ``symbol`` if it is priced and mentioned, else of the most
-    mentioned priced ticker (the smaller name of equals). Sessions with neither mentions nor a close are absent."""
+    mentioned priced ticker (the smaller name of equals). A session without mentions has n 0; one
+    with neither mentions nor a close is absent."""
     totals = cells.join(closed.select("ticker").distinct(), "ticker", "left_semi").groupBy("ticker").agg(F.sum("n").alias("_n"))
     chosen = totals.orderBy((F.col("ticker") == symbol).desc(), F.col("_n").desc(), "ticker").limit(1).select("ticker")
     mine = lambda df: df.join(F.broadcast(chosen), "ticker", "left_semi").where(F.col("d").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    return mine(cells).select("d", "ticker", "n", "m").join(mine(closed).select("d", "ticker", "close"), ["d", "ticker"], "full")
+    both = mine(cells).select("d", "ticker", "n", "m").join(mine(closed).select("d", "ticker", "close"), ["d", "ticker"], "full")
+    return both.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))

@@ -68,10 +68,10 @@ sc AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS trade_date, 'S' ||
 
 
 def cells_sql(by: str = "") -> str:
-    """Tables cells (d, ticker, s, m, n) and fv (d, ticker, variant, value), with the column ``by`` too."""
+    """Tables cells (d, ticker, s, m, n) and fv (d, ticker, variant, value to 9 places), with the column ``by`` too."""
     b = f"{by}, " if by else ""
     values = {"sum_sent_x_attn": "s * ln(1 + n)", "mean_sent": "m", "attn_log": "ln(1 + n)", "shrinkage_sent": "m * n / (n + 10.0)"}
-    rows = " UNION ALL ".join(f"SELECT {b}d, ticker, '{v}' AS variant, CAST({x} AS DOUBLE) AS value FROM cells" for v, x in values.items())
+    rows = " UNION ALL ".join(f"SELECT {b}d, ticker, '{v}' AS variant, round(CAST({x} AS DOUBLE), 9) AS value FROM cells" for v, x in values.items())
     return f"""
 cells AS (SELECT {b}trade_date AS d, ticker, coalesce(sum(p), 0) AS s, avg(p) AS m, count(*) AS n FROM sc WHERE trade_date IS NOT NULL AND ticker IS NOT NULL
   GROUP BY {b}trade_date, ticker),

@@ -43,17 +43,17 @@ def over_cap(records: DataFrame, contributor: str, score: str, id_: str, cap: in
     if cap < 1:
         raise ValueError("cap must be at least 1")
     key = reservoir_key(F.col(score), F.col(id_), temperature, seed)
-    keyed = records.where(F.col(contributor).isNotNull()).withColumn("_key", key)
-    best = W.partitionBy(contributor).orderBy(F.col("_key").desc_nulls_last(), F.col(id_).asc())
-    last = keyed.select(contributor, "_key", id_).withColumn("_place", F.row_number().over(best)).where(F.col("_place") == cap)
-    sizes = keyed.groupBy(contributor).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > cap)
-    thresholds = last.select(contributor, F.col("_key").alias("_last"), F.col(id_).alias("_last_id")).join(sizes, contributor)
+    keyed = records.where(F.col(contributor).isNotNull()).withColumn("__cap_key", key)
+    best = W.partitionBy(contributor).orderBy(F.col("__cap_key").desc_nulls_last(), F.col(id_).asc())
+    last = keyed.select(contributor, "__cap_key", id_).withColumn("__cap_place", F.row_number().over(best)).where(F.col("__cap_place") == cap)
+    sizes = keyed.groupBy(contributor).agg(F.count(F.lit(1)).alias("__cap_size")).where(F.col("__cap_size") > cap)
+    thresholds = last.select(contributor, F.col("__cap_key").alias("__cap_last"), F.col(id_).alias("__cap_last_id")).join(sizes, contributor)
     worse = (
-        (F.col("_key") < F.col("_last"))
-        | (F.col("_key").isNull() & F.col("_last").isNotNull())
-        | (F.col("_key").eqNullSafe(F.col("_last")) & (F.col(id_) > F.col("_last_id")))
+        (F.col("__cap_key") < F.col("__cap_last"))
+        | (F.col("__cap_key").isNull() & F.col("__cap_last").isNotNull())
+        | (F.col("__cap_key").eqNullSafe(F.col("__cap_last")) & (F.col(id_) > F.col("__cap_last_id")))
     )
-    return join_per_key(keyed, thresholds, [contributor], "_size").where(worse).select(*records.columns)
+    return join_per_key(keyed, thresholds, [contributor], "__cap_size").where(worse).select(*records.columns)
 
 
 def capped(records: DataFrame, contributor: str, score: str, id_: str, cap: int = 25, temperature: float = 1.0, seed: int = 0) -> DataFrame:

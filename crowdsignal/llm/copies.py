@@ -56,14 +56,14 @@ def copies(records: DataFrame, id_: str, fields: Sequence[str], least: int = 20,
     of all rows are joined by broadcast (see ``join_per_key``).
     """
     kind = T.StructType([records.schema[c] for c in fields])
-    root = F.struct(*(F.col(c) for c in fields))
-    source = records.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), *fields)
-    formed = source.select("id", canonical(root, kind, ordered).alias("form"))
+    source = records.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), F.struct(*(F.col(c) for c in fields)).alias("record"))
+    form = canonical(F.col("record"), kind, ordered).alias("form")
+    formed = source.select("id", form)
     amount = F.aggregate(F.transform("form", F.length), F.lit(0), lambda a, x: a + x)
     hashed = staged(formed.where(amount >= least).select("id", root_digest(F.col("form")).alias("digest")), "digests")
     sets = hashed.groupBy("digest").agg(F.min("id").alias("keep_id"), F.max("id").alias("_max"), F.count(F.lit(1)).alias("_size"))
     shared = staged(join_per_key(hashed, sets.where("keep_id <> _max").drop("_max"), ["digest"], "_size").distinct(), "shared")
-    members = source.join(shared.select("id", "digest"), "id").select("id", "digest", canonical(root, kind, ordered).alias("form"))
+    members = source.join(shared.select("id", "digest"), "id").select("id", "digest", form)
     split = members.groupBy("digest").agg(F.min("form").alias("least"), F.max("form").alias("greatest")).where("least <> greatest").select("digest")
     same = shared.join(split, "digest", "left_anti").select("keep_id", "id")
     by_form = members.join(split, "digest", "left_semi").select("form", "id").distinct()

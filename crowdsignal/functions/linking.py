@@ -34,21 +34,33 @@ def candidates(text: Column) -> Column:
 
 
 def extract_tickers(text: Column, allowed: Column) -> Column:
-    """The candidates that are allowed, each once, in the order of their first occurrence."""
-    return F.array_intersect(candidates(text), allowed)
+    """The candidates that are allowed, each once, in the order of their first occurrence.
+
+    ``array_intersect`` makes a set of its second array for every text. So the allowed symbols, which are many, are first held against the
+    few candidates; the second step restores the order.
+    """
+    found = candidates(text)
+    return F.array_intersect(found, F.array_intersect(allowed, found))
 
 
 def allowed_symbols(tickers: DataFrame) -> Column:
     """The symbols of a table less the blacklist, as one array: a scalar subquery, computed by Spark."""
-    found = symbols(tickers).agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
-    return F.array_except(found.scalar(), F.array(*map(F.lit, BLACKLIST)))
+    found = symbols(tickers).where(~F.col("symbol").isin(BLACKLIST)).agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    return found.scalar()
 
 
 def link_posts(posts: DataFrame, tickers: DataFrame) -> DataFrame:
-    """Posts with at least one ticker, in the array column ``tickers``."""
-    return posts.withColumn("tickers", extract_tickers(F.col("text"), allowed_symbols(tickers))).where(F.size("tickers") > 0)
+    """Posts with at least one ticker, in the array column ``tickers``.
+
+    Filters are pushed below projections, their expressions with them, so the filter is one that is cheaper than the column.
+    """
+    allowed = allowed_symbols(tickers)
+    return posts.where(F.arrays_overlap(candidates(F.col("text")), allowed)).withColumn("tickers", extract_tickers(F.col("text"), allowed))
 
 
 def fan_out(linked: DataFrame) -> DataFrame:
-    """One row per post and ticker."""
-    return linked.withColumn("ticker", F.explode("tickers")).drop("tickers")
+    """One row per post and ticker; none for a post without.
+
+    An inner explode would have Spark filter by the size of the array below, computing it twice.
+    """
+    return linked.withColumn("ticker", F.explode_outer("tickers")).where("ticker IS NOT NULL").drop("tickers")

@@ -12,6 +12,7 @@ from crowdsignal.operators.calendar import padded_returns
 from crowdsignal.operators.crosssection import daily_rank_ic, daily_spearman
 from crowdsignal.operators.factors import by_forum_and_pooled, daily_cells, factor_variants, forward_returns, momentum, reversal
 from crowdsignal.plans.panels import MOMENTUM, PADDED, PANELS, REVERSAL, SQL, cells_sql, returns_sql
+from crowdsignal.session import staged
 
 #: Least pairs of a day for a rank correlation: the panels are narrow in the small test tables; the operator's default is 20.
 MIN_PAIRS = {"forum": 3, "weekly": 5}
@@ -23,9 +24,12 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _signal(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The factors with 9 places: products with logarithms that are equal by arithmetic must tie in every engine."""
+    """The factors with 9 places: products with logarithms that are equal by arithmetic must tie in every engine.
+
+    The cells are written once, as what follows reads them several times and the scored rows are many more.
+    """
     by = by or []
-    return factor_variants(daily_cells(scored, by), by).withColumn("value", F.round("value", 9))
+    return factor_variants(staged(daily_cells(scored, by), "cells"), by).withColumn("value", F.round("value", 9))
 
 
 def trade_date_roll(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +112,7 @@ def cumulative_ic(spark: SparkSession, sf: str) -> DataFrame:
 
 def _signals(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     x = PANELS["weekly"](spark, sf)
-    sent = factor_variants(daily_cells(x.scored)).where("variant = 'mean_sent'").select("d", "ticker", "value")
+    sent = factor_variants(staged(daily_cells(x.scored), "cells")).where("variant = 'mean_sent'").select("d", "ticker", "value")
     return {"sent": sent, "mom": momentum(x.closed, x.calendar), "rev": reversal(x.closed), "fwd": forward_returns(x.closed, HORIZON)}
 
 
@@ -210,7 +214,7 @@ def _spikes(panel: str, spark: SparkSession, sf: str) -> DataFrame:
 
 def _forum_spikes(panel: str, spark: SparkSession, sf: str) -> DataFrame:
     x = PANELS[panel](spark, sf)
-    return events.mention_spikes(daily_cells(x.scored.where("subreddit IS NOT NULL"), ["subreddit"]), ["subreddit"], floor=2.0)
+    return events.mention_spikes(staged(daily_cells(x.scored.where("subreddit IS NOT NULL"), ["subreddit"]), "cells"), ["subreddit"], floor=2.0)
 
 
 def _spikes_by_forum(panel: str, spark: SparkSession, sf: str) -> DataFrame:
@@ -221,7 +225,7 @@ def _spikes_by_forum(panel: str, spark: SparkSession, sf: str) -> DataFrame:
 def _event_car(panel: str, spark: SparkSession, sf: str) -> DataFrame:
     """E2-E4, J7, W8, A14."""
     x = PANELS[panel](spark, sf)
-    windows = events.event_windows(events.mention_spikes(daily_cells(x.scored)), x.closed, x.calendar)
+    windows = events.event_windows(events.mention_spikes(staged(daily_cells(x.scored), "cells")), x.closed, x.calendar)
     return _rounded(events.mean_car(windows), "mean_car", "se")
 
 

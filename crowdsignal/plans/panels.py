@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdsignal.operators.calendar import closes, roll_to_session, session_calendar
+from crowdsignal.session import staged
 from crowdsignal.sources.tables import table
 
 
@@ -33,12 +34,12 @@ def weekly_panel(spark: SparkSession, sf: str) -> Panel:
     items = table(spark, sf, "lineitem")
     week, ticker = F.to_date(F.date_trunc("week", "l_shipdate")), F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
     cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double")
-    prices = items.groupBy(week.alias("date"), ticker.alias("symbol")).agg((100 + cents / F.count(F.lit(1)) / 100000.0).alias("close"))
+    prices = staged(items.groupBy(week.alias("date"), ticker.alias("symbol")).agg((100 + cents / F.count(F.lit(1)) / 100000.0).alias("close")), "prices")  # items are read once
     scored = items.select(
         week.alias("trade_date"), ticker.alias("ticker"), F.col("l_returnflag").alias("subreddit"),
         (F.round(F.col("l_discount") * 100) / 16.0).alias("score_pos"), (F.round(F.col("l_tax") * 100) / 16.0).alias("score_neg"),
     )
-    calendar = session_calendar(items.select(week.alias("date")))
+    calendar = session_calendar(prices)
     return Panel(scored, calendar, closes(prices, calendar))
 
 

@@ -12,6 +12,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, least_rows: int = 20_000) -> DataFrame:
+    """The table itself if its files give every core a part to read, as large ones do; else its rows dealt out to all cores.
+
+    A file of one row group is read by one task, however much work its rows then make. Small tables are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores and df.count() >= least_rows else df
+
+
 def bounded_sample(df: DataFrame, id_: str, rows: int, seed: int = 0) -> DataFrame:
     """About ``rows`` rows of a table, and never more than 1.2 times as many; the whole table if it is no larger.
 

@@ -90,6 +90,6 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def spot_check(scored: DataFrame, posts: DataFrame, n: int = 10, seed: int = 7, chars: int = 80) -> DataFrame:
     """``n`` scored rows, picked by a hash of document, ticker and seed, with the head of their text; one join, by document."""
-    picked = scored.select("doc_id", "subreddit", "ticker", "score_pos", "score_neg", "score_neu").distinct().orderBy(F.xxhash64("doc_id", "ticker", F.lit(seed)), "doc_id", "ticker").limit(n)
+    picked = scored.select("doc_id", "subreddit", "ticker", "score_pos", "score_neg", "score_neu").distinct().orderBy(F.md5(F.concat_ws("|", "doc_id", "ticker", F.lit(str(seed)))), "doc_id", "ticker").limit(n)
     heads = posts.groupBy("doc_id").agg(F.min(F.substring("text", 1, chars)).alias("text_head"))
     return picked.join(heads, "doc_id", "left").withColumn("raw_id", F.element_at(F.split("doc_id", "/"), -1))

@@ -177,26 +177,38 @@ def panel_describe(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(inference.describe(_panel(spark, sf), ["sent", "mom", "rev", "fwd"]), "mean", "sd", "min", "p25", "p50", "p75", "max")
 
 
-_FIT = ("r2", "beta", "se", "z", "p", "lower", "upper")
+_FIT = ("r2", "beta", "se", "z", "lower", "upper")
+#: Groups of fewer rows get no coefficients.
+LEAST_ROWS = {"month": 30, "pool": 0, "subreddit": 100}
 
 
 def _monthly(spark: SparkSession, sf: str) -> DataFrame:
-    return inference.ols_robust(_panel(spark, sf).withColumn("month", F.date_format("d", "yyyy-MM")), ["month"], "fwd", REGRESSORS)
+    return inference.ols_robust(_panel(spark, sf).withColumn("month", F.date_format("d", "yyyy-MM")), ["month"], "fwd", REGRESSORS, LEAST_ROWS["month"])
+
+
+def _pooled(spark: SparkSession, sf: str) -> DataFrame:
+    return inference.ols_hac(_panel(spark, sf).withColumn("pool", F.lit("ALL")), ["pool"], "fwd", REGRESSORS)
 
 
 def ols_monthly_hc1(spark: SparkSession, sf: str) -> DataFrame:
     """O2, P20: a regression per month."""
-    return _rounded(_monthly(spark, sf), *_FIT)
+    return _rounded(_monthly(spark, sf).drop("p"), *_FIT)
 
 
 def ols_monthly_summary(spark: SparkSession, sf: str) -> DataFrame:
     """O5, A19."""
-    return _rounded(inference.monthly_summary(_monthly(spark, sf)), "mean_beta", "mean_t")
+    out = inference.monthly_summary(_rounded(_monthly(spark, sf), "beta", "z"))
+    return out.withColumns({c: F.round(c, 5) for c in ("mean_beta", "mean_t")})
 
 
 def ols_pooled_hac(spark: SparkSession, sf: str) -> DataFrame:
-    """One regression over the panel."""
-    return _rounded(inference.ols_hac(_panel(spark, sf).withColumn("pool", F.lit("ALL")), ["pool"], "fwd", REGRESSORS), *_FIT)
+    """O3: one regression over the panel."""
+    return _rounded(_pooled(spark, sf).drop("p"), *_FIT)
+
+
+def ols_pooled_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Its table of coefficients with p-values, for which DuckDB has no function."""
+    return _rounded(_pooled(spark, sf), *_FIT, "p")
 
 
 def ols_pooled_by_forum(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,7 +216,7 @@ def ols_pooled_by_forum(spark: SparkSession, sf: str) -> DataFrame:
     x = PANELS["weekly"](spark, sf)
     sent = factor_variants(daily_cells(x.scored, ["subreddit"]), ["subreddit"]).where("variant = 'mean_sent' AND value IS NOT NULL").select("subreddit", "d", "ticker", F.col("value").alias("sent"))
     rest = inference.stack_panel(mom=momentum(x.closed, x.calendar), rev=reversal(x.closed), fwd=forward_returns(x.closed, HORIZON))
-    return _rounded(inference.ols_hac(sent.join(rest, ["d", "ticker"]), ["subreddit"], "fwd", REGRESSORS, min_obs=100), *_FIT)
+    return _rounded(inference.ols_hac(sent.join(rest, ["d", "ticker"]), ["subreddit"], "fwd", REGRESSORS, min_obs=LEAST_ROWS["subreddit"]).drop("p"), *_FIT)
 
 
 def _spikes(panel: str, spark: SparkSession, sf: str) -> DataFrame:
@@ -250,7 +262,7 @@ def case_study_daily(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(events.case_study(daily_cells(x.scored), x.closed, *CASE), "m")
 
 
-QUERIES = {f.__name__: f for f in (trade_date_roll, ic_forum_matrix, cumulative_ic, xs_spearman, xs_spearman_mean, rebalance_dates, panel_stack, panel_describe, ols_monthly_hc1, ols_monthly_summary, ols_pooled_hac, ols_pooled_by_forum, case_study_daily)}
+QUERIES = {f.__name__: f for f in (trade_date_roll, ic_forum_matrix, cumulative_ic, xs_spearman, xs_spearman_mean, rebalance_dates, panel_stack, panel_describe, ols_monthly_hc1, ols_monthly_summary, ols_pooled_hac, ols_pooled_table, ols_pooled_by_forum, case_study_daily)}
 QUERIES["event_car_points"] = _event_car_points
 ORACLE: dict[str, str] = {}
 
@@ -406,6 +418,38 @@ def _rho_sql(a: str, b: str) -> str:
   FROM {k}x x FULL JOIN {k}y y ON x.d = y.d AND x.ticker = y.ticker GROUP BY 2)"""
 
 
+def _ols_sql(source: str, g: str, hac: bool) -> str:
+    """Table fit (g, n, r2, name, beta, se, z, lower, upper) of the table ``source``.
+
+    Slopes by Cramer's rule on centred columns. A coefficient is a sum over rows of weight times outcome, so its robust variance is a
+    sum of products of weight times residual, at lag 0 for HC1 and at lags 0 to 5 for HAC.
+    """
+    names = ["const", *REGRESSORS]
+    part = f"PARTITION BY {g} ORDER BY ticker, d"
+    lags = ", ".join(f"lag(f{j} * e, {k}) OVER ({part}) AS u{j}_{k}" for j in range(4) for k in range(1, 6)) if hac else "0 AS nolag"
+    terms = lambda j: " + ".join([f"sum(f{j} * e * f{j} * e)", *(f"2 * (1 - {k} / 6.0) * coalesce(sum(f{j} * e * u{j}_{k}), 0)" for k in range(1, 6) if hac)])
+    scale = "1.0" if hac else "CAST(count(*) AS DOUBLE) / nullif(count(*) - 4, 0)"
+    rows = " UNION ALL ".join(f"SELECT {g}, n, r2, '{name}' AS name, b{j} AS beta, sqrt(v{j}) AS se FROM var" for j, name in enumerate(names))
+    shown = lambda x, c: f"CASE WHEN n >= {LEAST_ROWS[g]} THEN round({x}, 6) END AS {c}"
+    return f"""
+mn AS (SELECT {g}, count(*) AS n, avg(sent) AS ma, avg(mom) AS mb, avg(rev) AS mc, avg(fwd) AS my FROM {source} GROUP BY {g}),
+z AS (SELECT s.{g}, ticker, d, n, ma, mb, mc, my, sent - ma AS a, mom - mb AS b, rev - mc AS c, fwd - my AS y FROM {source} s JOIN mn ON s.{g} = mn.{g}),
+mo AS (SELECT {g}, sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc, sum(a * y) AS ay, sum(b * y) AS yb, sum(c * y) AS cy, sum(y * y) AS yy FROM z GROUP BY {g}),
+de AS (SELECT *, nullif(aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac), 0) AS det FROM mo),
+iv AS (SELECT *, (bb * cc - bc * bc) / det AS i11, (ac * bc - ab * cc) / det AS i12, (ab * bc - ac * bb) / det AS i13, (aa * cc - ac * ac) / det AS i22, (ab * ac - aa * bc) / det AS i23, (aa * bb - ab * ab) / det AS i33 FROM de),
+sl AS (SELECT *, i11 * ay + i12 * yb + i13 * cy AS b1, i12 * ay + i22 * yb + i23 * cy AS b2, i13 * ay + i23 * yb + i33 * cy AS b3 FROM iv),
+fw AS (SELECT z.{g}, ticker, d, n, yy, b1, b2, b3, my - b1 * ma - b2 * mb - b3 * mc AS b0, y - b1 * a - b2 * b - b3 * c AS e, i11 * a + i12 * b + i13 * c AS f1, i12 * a + i22 * b + i23 * c AS f2,
+  i13 * a + i23 * b + i33 * c AS f3, ma, mb, mc FROM z JOIN sl ON z.{g} = sl.{g}),
+fz AS (SELECT *, 1.0 / n - ma * f1 - mb * f2 - mc * f3 AS f0 FROM fw),
+lg AS (SELECT *, {lags} FROM fz),
+var AS (SELECT {g}, count(*) AS n, 1 - sum(e * e) / max(yy) AS r2, max(b0) AS b0, max(b1) AS b1, max(b2) AS b2, max(b3) AS b3, {", ".join(f"greatest(({terms(j)}) * {scale}, 0) AS v{j}" for j in range(4))} FROM lg GROUP BY {g}),
+long AS ({rows}),
+fit AS (SELECT {g}, n, {shown("r2", "r2")}, name, {shown("beta", "beta")}, {shown("se", "se")}, {shown("beta / nullif(se, 0)", "z")}, {shown("beta - 1.959963984540054 * se", "lower")}, {shown("beta + 1.959963984540054 * se", "upper")} FROM long)"""
+
+
+_FORUM_STACK = f"""WITH {SQL['weekly']}, {cells_sql('subreddit').replace('WHERE trade_date', 'WHERE subreddit IS NOT NULL AND trade_date')}, {MOMENTUM}, {REVERSAL}, {returns_sql(HORIZON)},
+  fst AS (SELECT subreddit, fv.d, fv.ticker, fv.value AS sent, mom.value AS mom, rev.value AS rev, ret AS fwd FROM fv JOIN mom ON fv.d = mom.d AND fv.ticker = mom.ticker JOIN rev ON fv.d = rev.d AND fv.ticker = rev.ticker
+  JOIN r ON fv.d = r.d AND fv.ticker = r.ticker WHERE variant = 'mean_sent' AND fv.value IS NOT NULL AND mom.value IS NOT NULL AND rev.value IS NOT NULL AND ret IS NOT NULL)"""
 _RHO = f"{_SIGNALS}, {_rho_sql('sent', 'mom')}, {_rho_sql('sent', 'rev')}, {_rho_sql('mom', 'rev')}, rho AS (SELECT * FROM sent_mom UNION ALL SELECT * FROM sent_rev UNION ALL SELECT * FROM mom_rev)"
 _WEEKLY_IC = f"{_WEEKLY}, {returns_sql(HORIZON)}, {_ic_sql('variant', MIN_PAIRS['weekly'])}"
 _DESCRIBE = " UNION ALL ".join(
@@ -426,6 +470,11 @@ ORACLE |= {
     "long_only_weights": f"{_WEEKLY}, {_weights_sql('fv', True)} SELECT variant, d, ticker, round(w, 6) AS w FROM wts",
     "panel_stack": f"{_STACK} SELECT d, ticker, {_ROUNDED('sent', 'mom', 'rev', 'fwd')} FROM stack",
     "panel_describe": f"{_STACK} {_DESCRIBE}",
+    "ols_monthly_hc1": f"{_STACK}, mst AS (SELECT *, strftime(d, '%Y-%m') AS month FROM stack), {_ols_sql('mst', 'month', False)} SELECT * FROM fit",
+    "ols_monthly_summary": f"""{_STACK}, mst AS (SELECT *, strftime(d, '%Y-%m') AS month FROM stack), {_ols_sql('mst', 'month', False)}
+      SELECT name, count(*) AS n_months, round(avg(beta), 5) AS mean_beta, round(avg(z), 5) AS mean_t, count(*) FILTER (WHERE z > 2) AS n_above, count(*) FILTER (WHERE z < -2) AS n_below FROM fit GROUP BY name""",
+    "ols_pooled_hac": f"{_STACK}, pst AS (SELECT *, 'ALL' AS pool FROM stack), {_ols_sql('pst', 'pool', True)} SELECT * FROM fit",
+    "ols_pooled_by_forum": f"{_FORUM_STACK}, {_ols_sql('fst', 'subreddit', True)} SELECT * FROM fit",
     "event_car_points": ORACLE["event_car_weekly"].replace("WHERE k = 21", """WHERE k = 21 AND "offset" IN (1, 5, 10)"""),
     "case_study_daily": f"""WITH {SQL['forum']}, {cells_sql()},
       t AS (SELECT ticker FROM cells WHERE ticker IN (SELECT ticker FROM px) GROUP BY ticker ORDER BY ticker = 'GME' DESC, sum(n) DESC, ticker LIMIT 1),

@@ -166,6 +166,9 @@ ORACLE = {
       WHERE subreddit IS NOT NULL AND ticker IS NOT NULL GROUP BY subreddit, ticker) WHERE place <= 10""",
     "bot_author_days": f"""SELECT author, day, count(*) AS n FROM (SELECT nullif(lower(regexp_replace(trim(author), '^/?u/', '')), '[deleted]') AS author,
       CAST(try_strptime(created, '%Y-%m-%d %H:%M:%S') AS DATE) AS day FROM submissions_reddit) WHERE author IS NOT NULL AND day IS NOT NULL GROUP BY 1, 2 HAVING count(*) > {BUSY}""",
+    "spot_check": f"""WITH {_POSTS}, h AS (SELECT doc_id, min(substring(text, 1, 80)) AS text_head FROM posts GROUP BY 1),
+      k AS (SELECT DISTINCT doc_id, subreddit, ticker, score_pos, score_neg, score_neu FROM scored_leukipp ORDER BY md5(concat_ws('|', doc_id, ticker, '7')), doc_id, ticker LIMIT 10)
+      SELECT k.*, text_head, split_part(k.doc_id, '/', -1) AS raw_id FROM k LEFT JOIN h ON k.doc_id = h.doc_id""",
     "score_means": f"SELECT name, round(avg(x), 6) AS mean, min(x) AS lowest, max(x) AS highest FROM ({_LONG}) GROUP BY 1",
     "score_histogram": f"""WITH l AS ({_LONG}), s AS (SELECT name, min(x) AS lo, max(x) AS hi FROM l GROUP BY 1)
       SELECT l.name, least(CAST(floor((x - lo) * 40 / (hi - lo)) AS BIGINT) + 1, 40) AS bin, count(*) AS n FROM l JOIN s ON l.name = s.name GROUP BY 1, 2""",

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from crowdsignal.sources.tables import spread
+
 #: Fixed value: the pattern that cuts a text before merging, as published with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -122,7 +124,7 @@ def _encoded(df: DataFrame, id_: str, text: str, ranks: str, schema: str, column
                 part = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), column(encoder.encode_batch(part.column(1).to_pylist()))], names=["id", "out"])
 
-    out = df.select(df[id_].alias("id"), df[text].cast("string").alias("text")).mapInArrow(work, f"id {kind}, out {schema}")
+    out = spread(df.select(df[id_].alias("id"), df[text].cast("string").alias("text"))).mapInArrow(work, f"id {kind}, out {schema}")
     return out.withColumnRenamed("id", id_)
 
 
@@ -132,7 +134,7 @@ def _list_column(rows: list[list[int]]) -> pa.Array:
 
 
 def token_ids(df: DataFrame, id_: str, text: str, ranks: str = DEFAULT_RANKS, name: str = "ids") -> DataFrame:
-    """(id, ids): the token ids of every row's text, without special tokens, in one pass without a shuffle.
+    """(id, ids): the token ids of every row's text, without special tokens, in one pass, without a shuffle where the files give every core a part.
 
     Null and empty texts have no ids (an empty list); the strings of special tokens are ordinary text; rows are kept as
     they are, repeated ones too. The rank file is read by the driver only.

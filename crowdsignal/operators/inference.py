@@ -118,8 +118,8 @@ def _with_errors(meat: DataFrame, keys: Sequence[str], x: Sequence[str], small_s
 
 
 def _residuals(panel: DataFrame, fits: DataFrame, keys: Sequence[str], y: str, x: Sequence[str]) -> DataFrame:
-    """The panel with its residual _e and the fit of its group; there is a row per group, a month or a forum, to broadcast."""
-    joined = panel.join(F.broadcast(fits), list(keys)) if keys else panel.join(F.broadcast(fits.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
+    """The panel with its residual _e and the fit of its group; there is a row per group, as a month or a forum, to broadcast."""
+    joined = panel.join(F.broadcast(fits), list(keys))
     fit = sum((d * F.col(f"_b{i}") for i, d in enumerate(_design(x))), F.lit(0.0))
     return joined.withColumn("_e", F.col(y) - fit)
 
@@ -131,7 +131,8 @@ def _first(k: int) -> list[Column]:
 def ols_robust(panel: DataFrame, keys: Sequence[str], y: str, x: Sequence[str], min_obs: int = 0) -> DataFrame:
     """Least squares with an intercept per group, errors robust to heteroskedasticity (HC1): a row per group and coefficient.
 
-    (*keys, n, r2, name, beta, se, z, p, lower, upper). Groups are few, as months are; each is solved by pseudo-inverse.
+    (*keys, n, r2, name, beta, se, z, p, lower, upper). There is at least one key; groups are few, as months are, and each is solved by
+    pseudo-inverse.
     """
     k, design = len(x) + 1, _design(x)
     rows = _residuals(panel, _fitted(panel, keys, y, x).drop("n"), keys, y, x)

@@ -47,6 +47,20 @@ def test_query(spark, duck, name):
     assert table(ours) == table(theirs)
 
 
+@pytest.mark.parametrize("name", ["trade_date_roll", "rank_ic_summary", "rank_ic_by_forum_weekly", "ls_backtest_summary", "ols_pooled_by_forum", "event_car", "event_car_by_forum", "xs_spearman", "p2_found", "p2_profiles", "p4_found", "link_rate_rollup", "scored_pipeline"])
+def test_plans_have_no_join_without_a_key(spark, name):
+    part = next(p for p in PARTS if name in p.QUERIES)
+    plan = part.QUERIES[name](spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_scans_read_only_what_is_used(spark):
+    plan = posts_queries.bot_author_days(spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<author:string,created:string>" in plan
+    plan = posts_queries.top10_per_forum(spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(subreddit), IsNotNull(ticker)]" in plan and "struct<subreddit:string,ticker:string>" in plan
+
+
 def test_the_library_imports_no_llm_code():
     import crowdsignal
 

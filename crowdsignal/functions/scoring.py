@@ -11,12 +11,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crowdsignal.functions.linking import fan_out, link_posts
-from crowdsignal.functions.text import unicode_strip
 
 #: Words that a post's tone is told by where no model is at hand.
 POSITIVE = "beat bull bullish buy calls gain gains green growth high improving long moon profit recovered rose solid squeezed strong undervalued up upgrade win winner".split()
@@ -25,14 +24,17 @@ NEGATIVE = "bear bearish bleed crash debt down downgrade drop faded fell loss lo
 SCORES = ("score_pos", "score_neg", "score_neu")
 
 
-def lexicon_scores(text: Column) -> list[Column]:
-    """Shares of positive, negative and no words, one word of no tone added: p, n, 1 over p + n + 1. Whole texts count."""
-    words = F.split(F.lower(text), "[^a-z]+")
-    count = lambda known: F.size(F.filter(words, lambda w: w.isin(*known)))
-    p, n = count(POSITIVE), count(NEGATIVE)
-    total = (p + n + 1).cast("double")
-    scored = unicode_strip(text) != ""
-    return [F.when(scored, (x / total).cast("float")).alias(name) for x, name in zip((p, n, F.lit(1)), SCORES, strict=True)]
+def lexicon_scores(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with the shares of positive, negative and no words, one word of no tone added: p, n, 1 over p + n + 1. Whole texts count.
+
+    The counts are columns of their own first, so that each is made once.
+    """
+    low = F.lower(F.col(text))
+    count = lambda known: F.regexp_count(low, F.lit(f"(?<![a-z])(?:{'|'.join(known)})(?![a-z])"))
+    counted = df.withColumns({"_p": count(POSITIVE), "_n": count(NEGATIVE), "_some": F.col(text).rlike(r"(?U)[^\s\x1c-\x1f]")})
+    total = (F.col("_p") + F.col("_n") + 1).cast("double")
+    scores = {name: F.when(F.col("_some"), (x / total).cast("float")) for x, name in zip((F.col("_p"), F.col("_n"), F.lit(1)), SCORES, strict=True)}
+    return counted.withColumns(scores).drop("_p", "_n", "_some")
 
 
 class Model(Protocol):
@@ -87,5 +89,5 @@ def lexicon_model() -> Model:
 def score_linked(posts: DataFrame, tickers: DataFrame, scored: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Posts to scored rows, one per post and ticker; no shuffle. ``scored`` adds the three scores, by default from the word list."""
     linked = link_posts(posts, tickers)
-    linked = scored(linked) if scored else linked.select("*", *lexicon_scores(F.col("text")))
+    linked = scored(linked) if scored else lexicon_scores(linked)
     return fan_out(linked).select("doc_id", "subreddit", "created_utc", "ticker", "is_comment", F.col("score").alias("doc_score"), *SCORES)

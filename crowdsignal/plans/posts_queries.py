@@ -42,7 +42,7 @@ def _tone(df: DataFrame) -> DataFrame:
 
 def lexicon_score(spark: SparkSession, sf: str) -> DataFrame:
     """U2 by expressions."""
-    return _tone(_posts(spark, sf).select("doc_id", *lexicon_scores(F.col("text"))))
+    return _tone(lexicon_scores(_posts(spark, sf).select("doc_id", "text")))
 
 
 def model_score(spark: SparkSession, sf: str) -> DataFrame:

@@ -55,7 +55,7 @@ def test_linking_and_fan_out(spark):
 
 def test_scores_agree_and_skip_blank(spark):
     df = spark.createDataFrame([(1, "buy and hold, no loss"), (2, " "), (3, None), (4, "gain " * 5000)], "id int, text string")
-    by_expression = {r["id"]: tuple(r[c] for c in SCORES) for r in df.select("id", *lexicon_scores(F.col("text"))).collect()}
+    by_expression = {r["id"]: tuple(r[c] for c in SCORES) for r in lexicon_scores(df).collect()}
     by_model = {r["id"]: tuple(r[c] for c in SCORES) for r in model_scores(df, "text", "test-lexicon", lexicon_model, 2).collect()}
     assert by_expression == by_model
     assert by_expression[2] == by_expression[3] == (None, None, None)

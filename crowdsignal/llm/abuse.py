@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crowdsignal.llm.abuse_text import NAME, NUMBER, PAD, Reader, known_words, loaded_words, made_up, plain
+from crowdsignal.llm.abuse_text import FOREIGN, NAME, NUMBER, PAD, Reader, known_words, loaded_words, made_up, plain, unmarked
 from crowdsignal.sources.tables import bounded_sample, spread
 
 CLASSES = ("none", "abuse", "hate", "sexual")
@@ -31,6 +31,8 @@ LETTER_GROUPS = 10  # of a word at most, besides the word
 
 #: Bounds of what is fitted on: labelled rows, unlabelled rows, made-up phrases.
 LABELLED_ROWS, UNLABELLED_ROWS, MADE_UP = 20_000, 4_000, 9_000
+#: Each phrase of another language counts so many times.
+FOREIGN_TIMES = 4
 #: One of so many labelled rows is held out from the network that sets the thresholds; the one that scores learns from all.
 HELD_OUT = 5
 #: A sentence all of whose words occur in so many of the unlabelled texts counts as clean, unless a word is listed as loaded.
@@ -175,7 +177,7 @@ class Scorer:
         self.net, self.most = net, most_words
         self.reader = Reader(KNOWN, USUAL)
         self.flat = np.concatenate([bank[j] for bank in net.banks for j in range(len(bank))], 1)  # DIM x all
-        self.languages = [frozenset(map(plain, words.split())) for words in LANGUAGES.values()]
+        self.languages = [frozenset(plain(unmarked(w)) for w in words.split()) for words in LANGUAGES.values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -287,6 +289,7 @@ def fit(labelled: Sequence[tuple[str, str]], unlabelled: Sequence[str] = (), see
     reader = Reader(KNOWN, USUAL)
     texts = [(s, CLASSES.index(label)) for text, label in labelled if label in CLASSES and (s := reader.sentences(text))]
     phrases = [(s, CLASSES.index(label)) for text, label in made_up(MADE_UP, seed) for s in reader.sentences(text)]
+    phrases += [(s, CLASSES.index(label)) for label, all_ in FOREIGN.items() for text in all_.split("|") for s in reader.sentences(text)] * FOREIGN_TIMES
     plain_texts = [reader.sentences(t) for t in unlabelled]
     others = Counter(tuple(s) for sentences in plain_texts for s in sentences)
     common = _common(plain_texts, COMMON_SHARE * len(unlabelled))

@@ -1,7 +1,8 @@
 """Words of a text as the abuse classifier reads them, and phrases made up for its training.
 
 Spellings that hide a word are undone as far as that can be told from the word alone: letter case, look-alike letters,
-digits for letters, characters between letters, repeated letters and invisible characters.
+digits for letters, characters between letters, repeated letters and invisible characters. Words are of letters and digits
+of any script. Latin letters lose their marks; scripts written without blanks are read sign by sign.
 """
 
 from __future__ import annotations
@@ -15,16 +16,40 @@ from collections.abc import Iterable, Sequence
 LOOK_ALIKES = dict(zip("аеорсухіѕјһԁвкмнтіϲοανεїёӏ", "aeopcyxisjhdbkmhticoaveiel", strict=True))
 #: Digits and signs written for letters.
 LEET = dict(zip("0134578@$!", "oieastbasi", strict=True))
+#: Latin letters that aren't a plain letter with a mark, and how they are read.
+SPELT = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ı": "i", "Æ": "AE", "Œ": "OE", "Ø": "O", "Ł": "L", "Đ": "D"})
 #: Signs that stand in a word for any letter.
 MASKS = "*#@%?"
 
 PAD, NUMBER, NAME = "<pad>", "<num>", "<name>"
 
+
+def _ranges(codes: Iterable[int]) -> list[tuple[int, int]]:
+    """The first and last of each run of consecutive numbers."""
+    out: list[tuple[int, int]] = []
+    for c in codes:
+        out = [*out[:-1], (out[-1][0], c)] if out and out[-1][1] == c - 1 else [*out, (c, c)]
+    return out
+
+
 _INVISIBLE = {c: None for c in (0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
-_LOOKS = {ord(k): v for k, v in LOOK_ALIKES.items()} | _INVISIBLE
+_LOOKS = str.maketrans(LOOK_ALIKES | {k.upper(): v.upper() for k, v in LOOK_ALIKES.items()})
+#: Combining marks, which aren't of \w but belong to the letter before them, as ranges of a character class.
+_MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges(c for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M"))
+#: Scripts written without blanks: Han, kana, Thai, Lao, Burmese, Khmer.
+_UNSPACED = "\u0e01-\u0e30\u0e32\u0e40-\u0e46\u0e81-\u0eb0\u0ec0-\u0ec6\u1000-\u102a\u1780-\u17b3\u3005-\u3007\u3041-\u3096\u30a1-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ ._\-*·]){2,}[^\W\d_]{1,3}(?![^\W_])")
 _SPACED_ONCE = re.compile(r"(?:\b[^\W\d_][ ._\-]){2}")
-_CHUNK = re.compile(r"[a-z0-9@$!*#%?']+")
+_CHUNK = re.compile(rf"[{_UNSPACED}][{_MARKS}]*|(?:(?![{_UNSPACED}])(?:[^\W_]|[{_MARKS}@$!*#%?']))+")
+_LETTER = r"[^\W\d_]"
+_JOINS = re.compile(rf"(?<={_LETTER})[_.\-*](?={_LETTER}(?!{_LETTER}))|(?<=(?<!{_LETTER}){_LETTER})[_.\-*](?={_LETTER})")
+_JOINED = re.compile(rf"{_LETTER}[_.\-*]{_LETTER}\b")
+#: Parts of a chunk that are words of their own, each of which may be of another script.
+_PARTS = re.compile(r"((?<=[^\W_]{2})[\-/.,:;_&+]+(?=[^\W_]{2}))")
+_LATIN = re.compile(r"[A-Za-z]")
+_LATIN_MARKED = re.compile(rf"([A-Za-z])[{_MARKS}]+")
+#: Ends of sentences that needn't have a blank behind them.
+_STOPS = re.compile("[。！？｡｡۔؟।॥]+")
 _NUMBER = re.compile(r"[\W_]*\d[\d.,:/%-]*(?:k|m|b|bn|mm|x|th|st|nd|rd|am|pm|d|h|s|yr|c|p|K|M|B|X)?[\W_]*")
 _CAMEL = re.compile(r"[\W_]*([A-Z][a-z]+[A-Z][A-Za-z]*)(?:['’]s)?[\W_]*")
 _SYMBOL = re.compile(r"\W*?\$?([A-Z]{2,5})(?:[.-][A-Z])?(?:['’]s)?\W*")
@@ -39,6 +64,13 @@ def plain(word: str) -> str:
     return _REPEAT.sub(r"\1", word)
 
 
+def unmarked(word: str) -> str:
+    """A word with marks taken from its Latin letters; those of other scripts stay, as they make other letters."""
+    if word.isascii():
+        return word
+    return unicodedata.normalize("NFC", _LATIN_MARKED.sub(r"\1", unicodedata.normalize("NFD", word).translate(SPELT)))
+
+
 class Reader:
     """Turns texts into sentences of normalised words; what a chunk between blanks stands for is kept.
 
@@ -60,7 +92,7 @@ class Reader:
         word = raw.strip("'!?")
         if not word:
             return ""
-        if word.isalpha():
+        if word.isalpha() or not word.isascii() and word[0].isalpha() and all(unicodedata.category(c)[0] in "LM" for c in word):
             return plain(word)
         if any(c in MASKS for c in word.strip("*#%?@")):
             shape = plain(re.sub(f"[{re.escape(MASKS)}]", "*", word.strip("*#%?")))
@@ -73,24 +105,37 @@ class Reader:
             return plain("".join(LEET.get(c, c) for c in word if c in LEET or c.isalpha()))
         return NUMBER if any(c.isdigit() for c in word) else ""
 
+    def _folded(self, raw: str) -> str:
+        """Without marks on Latin letters, and with look-alikes read as Latin ones: in words that mix scripts, and in those that
+        are known words when read so."""
+        if raw.isascii():
+            return raw
+        parts = _PARTS.split(unmarked(raw))
+        for k, part in enumerate(parts):
+            if not part.isascii() and (looks := part.translate(_LOOKS)) != part:
+                if _LATIN.search(part) or any(self._word(w) in self.known for w in _CHUNK.findall(looks.lower()) if w.isascii()):
+                    parts[k] = looks
+        return "".join(parts)
+
     def _chunk(self, raw: str) -> tuple[str, ...]:
         """The words of what stands between blanks, and PAD where a sentence ends."""
+        raw = self._folded(raw)
         if _NUMBER.fullmatch(raw):
             words = [NUMBER]
         elif (m := _CAMEL.fullmatch(raw)) and plain(m[1].lower()) not in self.usual or (m := _SYMBOL.fullmatch(raw)) and (raw[0] == "$" or plain(m[1].lower()) not in self.usual):
             words = [NAME]
         else:
             low = raw.lower()
-            joined = re.sub(r"(?<=[a-z])[_.\-*](?=[a-z](?![a-z]))|(?<=(?<![a-z])[a-z])[_.\-*](?=[a-z])", "", low) if re.search(r"[a-z][_.\-*][a-z]\b", low) else low
+            joined = _JOINS.sub("", low) if _JOINED.search(low) else low
             words = [w for part in _CHUNK.findall(joined) if (w := self._word(part))]
         return (*words, PAD) if _END.search(raw) else tuple(words)
 
     def _spelled(self, m: re.Match) -> str:
         """Letters set apart, written together; a short end that isn't part of a known word stays apart."""
         letters = re.split(r"[ ._\-*·]", m[0])
-        whole = "".join(letters)
+        whole = self._folded("".join(letters))
         if len(letters[-1]) > 1 and plain(whole.lower()) not in self.known:
-            rest = "".join(letters[:-1])
+            rest = self._folded("".join(letters[:-1]))
             return f"{rest} {letters[-1]}" if plain(rest.lower()) in self.known else whole if len(letters) > 3 else m[0]
         return whole
 
@@ -99,7 +144,7 @@ class Reader:
         if not text:
             return []
         if not text.isascii():
-            text = unicodedata.normalize("NFKC", text).translate(_LOOKS)
+            text = unicodedata.normalize("NFKC", _STOPS.sub(" . ", text)).translate(_INVISIBLE)
         if _SPACED_ONCE.search(text):
             text = _SPACED.sub(self._spelled, text)
         if text.isupper():
@@ -199,6 +244,29 @@ NEGATIVE: Sequence[str] = (
     "selling naked calls on the {thing} is risky", "naked puts blow up accounts {deed}", "i never write naked options", "naked call premiums are rich on this {thing}", "accounts die on naked calls", "they have guided {thing} lower", "told you so about the {thing}",
     "sad day for the {thing}", "my {thing} is trash and i know it", "my wife thinks my {thing} is garbage and she is right", "my picks are trash {deed}", "the {thing} will die", "options die worthless {deed}", "who else holds the {thing}", "we like the {thing}", "diamond hands or die", "{self} a degenerate gambler {deed}", "{self} an ape {deed}", "my {thing} makes me want to cry", "hot {thing} ready to run all night", "waiting in bed for the {thing} to open",
 )
+#: Phrases of the other languages that the documents and posts are written in, by label; the labelled sample may hold English only.
+FOREIGN: dict[str, str] = {
+    "abuse": "du bist ein dummer idiot|halt die klappe du arschloch|ihr seid alle blöde schweine|ich hoffe du stirbst|verpiss dich du wichser|ich bringe dich um|bring dich um du versager|"
+    "eres un idiota|cállate imbécil de mierda|vete a la mierda hijo de puta|ojalá te mueras|te voy a matar|sois todos unos estúpidos|mátate ya basura|"
+    "tu es un idiot|ferme ta gueule connard|va te faire foutre espèce de salaud|j'espère que tu vas crever|je vais te tuer|vous êtes tous des imbéciles|va mourir sale merde|"
+    "você é um idiota|cala a boca seu imbecil|vai se foder seu filho da puta|espero que você morra|eu vou te matar|vocês são uns burros|se mata seu lixo|"
+    "ты тупой идиот|заткнись придурок|пошёл нахуй мудак|чтоб ты сдох|я тебя убью|вы все дебилы и уроды|убей себя тварь|иди на хер сука|"
+    "你是个白痴|闭嘴你这个蠢货|你这个混蛋去死吧|我要杀了你|你们都是垃圾|滚出去傻逼|操你妈|希望你全家死光",
+    "hate": "alle ausländer sind ungeziefer|juden sind ratten und gehören vernichtet|frauen sind minderwertig|werft die flüchtlinge raus|"
+    "los inmigrantes son basura|las mujeres son inferiores|hay que exterminar a los judíos|fuera los moros de aquí son ratas|"
+    "les immigrés sont de la vermine|les femmes sont inférieures|il faut exterminer les juifs|dehors les arabes ce sont des rats|"
+    "os imigrantes são um lixo|as mulheres são inferiores|temos que exterminar os judeus|fora os negros daqui são ratos|"
+    "все мигранты твари|женщины тупые и низшие|евреев надо уничтожить|гнать этих чурок отсюда они крысы|移民都是害虫|女人都是低等的|犹太人应该被消灭|把外国人都赶出去他们是老鼠",
+    "sexual": "ich will dich die ganze nacht ficken|zeig mir deine titten|verkaufe nacktbilder|ich bin so geil|quiero follarte toda la noche|enséñame las tetas|vendo fotos desnuda|estoy muy cachonda|"
+    "je veux te baiser toute la nuit|montre-moi tes seins|je vends des photos nue|je suis toute excitée|quero te foder a noite toda|me mostra seus peitos|vendo fotos pelada|estou com muito tesão|"
+    "хочу трахать тебя всю ночь|покажи сиськи|продаю голые фото|я такая возбуждённая|我想整夜操你|给我看你的胸|出售裸照|我好想和你做爱",
+    "none": "die aktie ist heute gefallen|ich habe gekauft und warte auf die zahlen|wer weiß warum der markt steigt|ich idiot habe zu früh verkauft|der kurs ist scheiße|die regeln verbieten beleidigungen|"
+    "la acción cayó hoy|compré más y espero los resultados|alguien sabe por qué sube el mercado|qué idiota soy por vender antes|el precio es una mierda|las normas prohíben los insultos|"
+    "l'action a baissé aujourd'hui|j'ai acheté et j'attends les résultats|quelqu'un sait pourquoi le marché monte|quel idiot je suis d'avoir vendu|le cours est à chier|les règles interdisent les insultes|"
+    "a ação caiu hoje|comprei mais e espero o resultado|alguém sabe por que o mercado sobe|que idiota eu sou por vender cedo|o preço está uma merda|as regras proíbem insultos|"
+    "акция сегодня упала|я купил ещё и жду отчёта|кто знает почему рынок растёт|какой я идиот что продал рано|цена говно|правила запрещают оскорбления|дивиденды обещали повысить в следующем году|рынок очень слабый объёмы маленькие|"
+    "股票今天下跌了|我买了一些等财报|有人知道市场为什么上涨吗|我真是个白痴卖早了|这个价格真垃圾|规则禁止辱骂|这家公司的利润比去年低很多|市场情绪很差先观望吧",
+}
 
 
 def _lists() -> dict[str, list[str]]:

@@ -65,3 +65,23 @@ def test_table(spark):
     assert score_content(df.limit(0), "id", ["title"], labels.limit(0)).count() == 0
     with pytest.raises(ValueError, match="rename"):
         score_content(df.withColumnRenamed("k0", "score"), "id", ["title"], labels, ["score"])
+
+
+@pytest.mark.parametrize(
+    ("text", "words"),
+    [
+        ("fück you blöd ídíot", ["fuck", "you", "blod", "idiot"]), ("fu\u0308ck", ["fuck"]), ("Ты тупой идиот!", ["ты", "тупой", "идиот"]), ("мой ёж", ["мой", "ёж"]), ("GME-акция", ["gme", "акция"]),
+        ("你是白痴。滚", ["你", "是", "白", "痴", "滚"]), ("バカ", ["バ", "カ"]), ("أنت غبي", ["أنت", "غبي"]), ("तुम मूर्ख", ["तुम", "मूर्ख"]), ("Іdіоt", ["idiot"]), ("❤️ 🚀", []),
+    ],
+)
+def test_words_of_any_script(text, words):
+    assert [w for s in Reader(known_words()).sentences(text) for w in s] == words
+
+
+def test_other_languages_are_scored(net):
+    bad = ["Ты просто тупой идиот и урод", "你真是个白痴，去死吧", "Du bist ein blöder Idiot, du Arschloch", "Cállate, imbécil de mierda", "Fück you, you ídíot"]
+    fine = ["Рынок сегодня очень слабый, объёмы маленькие", "这家公司的利润比去年低很多", "Ich habe die Aktie gekauft und warte auf die Zahlen", "Alguien sabe por qué cayó el mercado?"]
+    scores, _, _ = Scorer(net).score([[t] for t in bad + fine])
+    assert min(scores[: len(bad)]) > 0.5 > max(scores[len(bad) :])
+    _, _, languages = Scorer(net).score([["Я думаю, что это не так, как мы хотели"], ["Ich weiß nicht, für wen das ist"]])
+    assert [list(LANGUAGES)[k] for k in languages] == ["ru", "de"]

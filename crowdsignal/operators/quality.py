@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 TOTAL = "TOTAL"
+#: How the forum of posts without one is named.
+NO_FORUM = "(none)"
 
 
 def coverage(posts: DataFrame, expected: DataFrame | None = None) -> DataFrame:
@@ -28,6 +30,19 @@ def daily_counts(posts: DataFrame, forums: Sequence[str], rolling: int = 7) -> D
     return filled.withColumn("rolling_mean", F.when(F.count("total").over(last) == rolling, F.avg("total").over(last)))
 
 
+def daily_forum_counts(posts: DataFrame, rolling: int = 7) -> DataFrame:
+    """(day, subreddit, n, rolling_mean): posts of each day that has any and of each forum, with 0 where it has none, and of all as
+    ``TOTAL``; the mean is of the forum's own counts over ``rolling`` such days, null before there are as many. Posts without a
+    forum count as ``NO_FORUM``.
+    """
+    counts = posts.where("created_utc IS NOT NULL").groupBy(F.to_date("created_utc").alias("day"), F.coalesce("subreddit", F.lit(NO_FORUM)).alias("subreddit")).agg(F.count(F.lit(1)).alias("n"))
+    grid = counts.select("day").distinct().crossJoin(F.broadcast(counts.select("subreddit").distinct()))
+    filled = grid.join(counts, ["day", "subreddit"], "left").select("day", "subreddit", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    total = counts.groupBy("day").agg(F.sum("n").alias("n")).select("day", F.lit(TOTAL).alias("subreddit"), "n")
+    last = W.partitionBy("subreddit").orderBy("day").rowsBetween(1 - rolling, 0)
+    return filled.unionByName(total).withColumn("rolling_mean", F.when(F.count("n").over(last) == rolling, F.avg("n").over(last)))
+
+
 def scored_totals(scored: DataFrame) -> DataFrame:
     """One row: rows, documents, tickers, and tickers per document."""
     return scored.agg(

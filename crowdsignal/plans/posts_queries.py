@@ -62,10 +62,18 @@ def forum_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forum_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Posts per day and forum, with a rolling mean."""
+    """A presentation of the four main forums side by side; total and rolling mean are of these four.
+
+    All forums, and the total of all posts, are in ``forum_daily_long``.
+    """
     return quality.daily_counts(_posts(spark, sf), FORUMS).withColumn("rolling_mean", F.round("rolling_mean", 6))
 
 
+def forum_daily_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts per day of every forum and of all, each with its rolling mean."""
+    return quality.daily_forum_counts(_posts(spark, sf)).withColumn("rolling_mean", F.round("rolling_mean", 6))
+
+
 def scored_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Q3, A6."""
     return quality.scored_totals(_scored(spark, sf)).withColumn("tickers_per_doc", F.round("tickers_per_doc", 6))
@@ -119,7 +127,7 @@ def spot_check(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        posts_normalise, symbol_list, ticker_mentions, lexicon_score, model_score, scored_pipeline, forum_coverage, forum_daily_counts, scored_totals, link_rate_rollup,
+        posts_normalise, symbol_list, ticker_mentions, lexicon_score, model_score, scored_pipeline, forum_coverage, forum_daily_counts, forum_daily_long, scored_totals, link_rate_rollup,
         ticker_top20, ticker_share, top10_per_forum, bot_author_days, score_means, score_histogram, spot_check,
     )
 }
@@ -153,6 +161,10 @@ ORACLE = {
     "forum_coverage": f"WITH {_POSTS} SELECT subreddit, count(*) AS n_rows, CAST(min(created_utc) AS DATE) AS first_day, CAST(max(created_utc) AS DATE) AS last_day FROM posts WHERE subreddit IS NOT NULL GROUP BY 1",
     "forum_daily_counts": f"""WITH {_POSTS}, c AS (SELECT CAST(created_utc AS DATE) AS day, {_DAY_COUNTS} FROM posts GROUP BY 1), t AS (SELECT *, {" + ".join(FORUMS)} AS total FROM c)
       SELECT *, CASE WHEN count(*) OVER w = 7 THEN round(avg(total) OVER w, 6) END AS rolling_mean FROM t WINDOW w AS (ORDER BY day ROWS 6 PRECEDING)""",
+    "forum_daily_long": f"""WITH {_POSTS}, r AS (SELECT CAST(created_utc AS DATE) AS day, coalesce(subreddit, '{quality.NO_FORUM}') AS subreddit FROM posts),
+      g AS (SELECT * FROM (SELECT DISTINCT day FROM r), (SELECT DISTINCT subreddit FROM r)),
+      t AS (SELECT day, subreddit, count(r.day) AS n FROM g LEFT JOIN r USING (day, subreddit) GROUP BY 1, 2 UNION ALL SELECT day, '{quality.TOTAL}', count(*) FROM r GROUP BY 1)
+      SELECT *, CASE WHEN count(*) OVER w = 7 THEN round(avg(n) OVER w, 6) END AS rolling_mean FROM t WINDOW w AS (PARTITION BY subreddit ORDER BY day ROWS 6 PRECEDING)""",
     "scored_totals": "SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_docs, count(DISTINCT ticker) AS n_tickers, round(count(*) / count(DISTINCT doc_id), 6) AS tickers_per_doc FROM scored_leukipp",
     "link_rate_rollup": f"""WITH {_POSTS}, a AS (SELECT subreddit, count(*) AS n FROM posts WHERE subreddit IS NOT NULL GROUP BY 1),
       b AS (SELECT subreddit, count(DISTINCT doc_id) AS k FROM scored_leukipp WHERE subreddit IS NOT NULL GROUP BY 1),

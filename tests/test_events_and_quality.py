@@ -77,3 +77,11 @@ def test_reports(spark, posts):
     assert quality.scored_totals(scored.limit(0)).collect()[0]["tickers_per_doc"] is None
     busy = posts.withColumn("author", F.lit("me"))
     assert [(r["author"], r["n"]) for r in quality.busy_author_days(busy, over=1).collect()] == [("me", 2)]
+
+
+def test_daily_counts_of_every_forum(spark):
+    rows = [("x", "2021-01-01 10:00:00"), (None, "2021-01-02 10:00:00"), ("y", "2021-01-02 10:00:00"), ("y", "2021-01-02 11:00:00"), ("x", "2021-01-03 10:00:00"), ("x", None)]
+    posts = spark.createDataFrame(rows, "subreddit string, t string").withColumn("created_utc", F.to_timestamp("t"))
+    out = {(r["subreddit"], r["day"].day): (r["n"], r["rolling_mean"]) for r in quality.daily_forum_counts(posts, rolling=2).collect()}
+    assert {k: v[0] for k, v in out.items() if v[0]} == {("x", 1): 1, (quality.NO_FORUM, 2): 1, ("y", 2): 2, ("x", 3): 1, ("TOTAL", 1): 1, ("TOTAL", 2): 3, ("TOTAL", 3): 1}
+    assert len(out) == 12 and out["y", 3] == (0, 1.0) and out["x", 1][1] is None and out["TOTAL", 2][1] == 2.0

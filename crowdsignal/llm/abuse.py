@@ -74,6 +74,7 @@ class Network:
 
     def __init__(self, table: np.ndarray, banks: list[np.ndarray], biases: list[np.ndarray], out: np.ndarray, out_bias: np.ndarray):
         self.table, self.banks, self.biases, self.out, self.out_bias = table, banks, biases, out, out_bias
+        self.known, self.tickers = KNOWN, None  # what texts are read with
 
     @classmethod
     def new(cls, rng: np.random.Generator) -> Network:
@@ -175,7 +176,7 @@ class Scorer:
 
     def __init__(self, net: Network, most_words: int = 40_000):
         self.net, self.most = net, most_words
-        self.reader = Reader(KNOWN, USUAL)
+        self.reader = Reader(net.known, USUAL, tickers=net.tickers)
         self.flat = np.concatenate([bank[j] for bank in net.banks for j in range(len(bank))], 1)  # DIM x all
         self.languages = [frozenset(plain(unmarked(w)) for w in words.split()) for words in LANGUAGES.values()]
         self._forget()
@@ -279,14 +280,23 @@ def _disguised(sentence: list[str], rng: random.Random) -> list[str]:
     return out
 
 
-def fit(labelled: Sequence[tuple[str, str]], unlabelled: Sequence[str] = (), seed: int = 0, epochs: int = 8) -> Network:
+def _known(labelled: Sequence[tuple[str, str]], tickers: Sequence[str] | None) -> set[str]:
+    """The listed words and those that lean to a label in the labelled sample."""
+    reader = Reader(KNOWN, USUAL, tickers=tickers)
+    texts = [(s, CLASSES.index(label)) for text, label in labelled if label in CLASSES and (s := reader.sentences(text))]
+    usual = {NAME, NUMBER, *USUAL}
+    return KNOWN | {w for w, x in _leaning(texts).items() if x > 2 and w not in usual and w.isalpha()}
+
+
+def fit(labelled: Sequence[tuple[str, str]], unlabelled: Sequence[str] = (), seed: int = 0, epochs: int = 8, tickers: Sequence[str] | None = None) -> Network:
     """A network from (text, label) pairs and unlabelled texts.
 
     A labelled text's sentences are told apart first: its worst one by the leaning of its words carries the label, and after
     a first network, the worst one by that.
     """
     rng = random.Random(seed)
-    reader = Reader(KNOWN, USUAL)
+    known = _known(labelled, tickers)
+    reader = Reader(known, USUAL, tickers=tickers)
     texts = [(s, CLASSES.index(label)) for text, label in labelled if label in CLASSES and (s := reader.sentences(text))]
     phrases = [(s, CLASSES.index(label)) for text, label in made_up(MADE_UP, seed) for s in reader.sentences(text)]
     phrases += [(s, CLASSES.index(label)) for label, all_ in FOREIGN.items() for text in all_.split("|") for s in reader.sentences(text)] * FOREIGN_TIMES
@@ -342,6 +352,7 @@ def fit(labelled: Sequence[tuple[str, str]], unlabelled: Sequence[str] = (), see
         for w in sorted({w for s in common for w in s} - listed):
             add([w], 0, 2.0, spoil=False)
         net = train_network(x, y, weight, epochs=epochs if round_ else max(3, epochs // 2), seed=seed + round_)
+        net.known, net.tickers = known, tickers
     return net
 
 
@@ -366,12 +377,12 @@ def language_thresholds(net: Network, labelled: Sequence[tuple[str, str]], least
     return np.array([best(languages == k) if (languages == k).sum() >= least_rows else overall for k in range(len(LANGUAGES) + 1)])
 
 
-def score_content(df: DataFrame, id_: str, parts: Sequence[str], labels: DataFrame, keep: Sequence[str] = (), seed: int = 0) -> DataFrame:
+def score_content(df: DataFrame, id_: str, parts: Sequence[str], labels: DataFrame, keep: Sequence[str] = (), seed: int = 0, tickers: Sequence[str] | None = None) -> DataFrame:
     """(id, *keep, score, label, language, flagged) of every row of ``df``, from the text columns ``parts``.
 
     ``labels`` has the columns label_id, text and label (null labels are skipped). Score is the chance that the worst
     sentence is of a kind to be flagged, label its likeliest kind, ``none`` where the row isn't flagged. Null, empty and
-    wordless texts score 0. Texts are read whole; repeated rows are scored each; an empty table gives an empty one.
+    wordless texts score 0. ``tickers`` are the words in capitals that name stocks; without them all short ones are taken to. Texts are read whole; repeated rows are scored each; an empty table gives an empty one.
 
     The driver fits the network on bounded samples chosen by hash: about LABELLED_ROWS and UNLABELLED_ROWS. Its weights, some 3 MB
     whatever the data, are broadcast, and rows are scored where they are read.
@@ -383,8 +394,8 @@ def score_content(df: DataFrame, id_: str, parts: Sequence[str], labels: DataFra
     labelled = list(rows[["text", "label"]].itertuples(index=False, name=None))
     text: Column = F.concat_ws(" . ", *(F.col(c).cast("string") for c in parts))
     sample = bounded_sample(df, id_, UNLABELLED_ROWS, seed).select(df[id_].cast("string").alias("id"), text.alias("text")).where("text <> ''").toPandas().sort_values(["id", "text"])["text"].tolist()
-    partial = fit([x for k, x in enumerate(labelled) if k % HELD_OUT], sample, seed, epochs=4)
-    shipped = spark.sparkContext.broadcast((fit(labelled, sample, seed), language_thresholds(partial, labelled[::HELD_OUT])))
+    partial = fit([x for k, x in enumerate(labelled) if k % HELD_OUT], sample, seed, epochs=4, tickers=tickers)
+    shipped = spark.sparkContext.broadcast((fit(labelled, sample, seed, tickers=tickers), language_thresholds(partial, labelled[::HELD_OUT])))
     names = [*LANGUAGES, OTHER]
     width = len(parts)
 

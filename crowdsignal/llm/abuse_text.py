@@ -52,6 +52,7 @@ _LATIN_MARKED = re.compile(rf"([A-Za-z])[{_MARKS}]+")
 _STOPS = re.compile("[。！？｡｡۔؟।॥]+")
 _NUMBER = re.compile(r"[\W_]*\d[\d.,:/%-]*(?:k|m|b|bn|mm|x|th|st|nd|rd|am|pm|d|h|s|yr|c|p|K|M|B|X)?[\W_]*")
 _CAMEL = re.compile(r"[\W_]*([A-Z][a-z]+[A-Z][A-Za-z]*)(?:['’]s)?[\W_]*")
+_CAMEL_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _SYMBOL = re.compile(r"\W*?\$?([A-Z]{2,5})(?:[.-][A-Z])?(?:['’]s)?\W*")
 _REPEAT = re.compile(r"(.)\1+")
 #: What separates sentences besides a full stop.
@@ -75,10 +76,12 @@ class Reader:
     """Turns texts into sentences of normalised words; what a chunk between blanks stands for is kept.
 
     ``known`` are words that a masked or a spelled-out word may stand for. Short words in capitals are taken for names of
-    stocks, except these and the ``usual`` ones, and except where the whole text is in capitals.
+    stocks, except these and the ``usual`` ones, and except where the whole text is in capitals. Where ``tickers`` are given,
+    only these are, and the words of a name in mixed case stand beside it.
     """
 
-    def __init__(self, known: Iterable[str], usual: Iterable[str] = (), most_kept: int = 200_000):
+    def __init__(self, known: Iterable[str], usual: Iterable[str] = (), most_kept: int = 200_000, tickers: Iterable[str] | None = None):
+        self.tickers = None if tickers is None else frozenset(tickers)
         self.known = frozenset(plain(w) for w in known if len(w) > 2)
         self.usual = self.known | frozenset(map(plain, usual))
         self.masked: dict[str, str] = {}
@@ -117,12 +120,20 @@ class Reader:
                     parts[k] = looks
         return "".join(parts)
 
+    def _is_symbol(self, raw: str, capitals: str) -> bool:
+        if raw[0] == "$":
+            return self._word(_CHUNK.findall(raw.lower())[0]) not in self.known
+        return plain(capitals.lower()) not in self.usual and (self.tickers is None or capitals in self.tickers)
+
     def _chunk(self, raw: str) -> tuple[str, ...]:
         """The words of what stands between blanks, and PAD where a sentence ends."""
         raw = self._folded(raw)
         if _NUMBER.fullmatch(raw):
             words = [NUMBER]
-        elif (m := _CAMEL.fullmatch(raw)) and plain(m[1].lower()) not in self.usual or (m := _SYMBOL.fullmatch(raw)) and (raw[0] == "$" or plain(m[1].lower()) not in self.usual):
+        elif (m := _CAMEL.fullmatch(raw)) and plain(m[1].lower()) not in self.usual:
+            parts = [plain(w.lower()) for w in _CAMEL_PARTS.findall(m[1])]
+            words = parts if self.known.intersection(parts) else [NAME] if self.tickers is None else [NAME, *parts]
+        elif (m := _SYMBOL.fullmatch(raw)) and self._is_symbol(raw, m[1]):
             words = [NAME]
         else:
             low = raw.lower()
@@ -175,13 +186,13 @@ WORDS: dict[str, str] = {
     "slur": "idiot moron imbecile cretin fool simpleton dimwit halfwit dunce clown loser coward scumbag bastard asshole arsehole jackass dumbass "
     "dipshit shithead dickhead prick wanker tosser twat bitch rat pig weasel maggot worm toad leech snake dog donkey cockroach parasite scum trash garbage "
     "filth creep pervert liar thief fraud degenerate sociopath psychopath psycho freak failure wretch swine vermin numbskull airhead bonehead nitwit "
-    "knucklehead lowlife douchebag shitbag scoundrel crook retch mutt ape goblin troll",
+    "knucklehead lowlife douchebag shitbag scoundrel crook retch mutt ape goblin troll slut whore cunt",
     "bad": "stupid dumb worthless pathetic useless ignorant brainless braindead spineless gutless lying miserable disgusting filthy ugly crooked greasy illiterate "
     "sad demented toothless slimy rotten lazy clueless fucking damn goddamn ridiculous vile nasty cheap dirty fat bloody little",
     "you": "you|u|you people|you all|<name>|the op|op|the mods|the mod team|whoever wrote this|the author|this poster|that user|everyone here|your kind|the guy above",
     "tail": "||||and so are your friends|and everybody knows it|now get lost|go away|who should shut up|just like your mother|and always will be|with no brain|"
     "and nobody likes you|who deserves nothing|and i hope you lose everything|lol|you make me sick|get off this forum",
-    "harm": "die|kill yourself|hang yourself|drown|burn in hell|rot in hell|get hit by a bus|get cancer|choke|bleed|suffer|never wake up|lose your family|starve|jump off a bridge|drink bleach|"
+    "harm": "die|kys|kill yourself|hang yourself|drown|burn in hell|rot in hell|get hit by a bus|get cancer|choke|bleed|suffer|never wake up|lose your family|starve|jump off a bridge|drink bleach|"
     "fall down the stairs|get beaten up|end up in a ditch|cry yourself to sleep|go broke and die",
     "attack": "kill you|find you|hunt you down|beat you up|break your legs|break your neck|smash your face|burn your house down|cut your throat|shoot you|stab you|hurt your family|"
     "come to your house|make you pay|make you bleed|make you suffer|punch you in the mouth|wait for you outside|come for your kids|slap you|follow you home",

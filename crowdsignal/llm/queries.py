@@ -11,18 +11,24 @@ from crowdsignal.llm.copies import collapsed, copies
 from crowdsignal.llm.encoding import token_counts, token_ids
 from crowdsignal.llm.mojibake import garbled_documents
 from crowdsignal.llm.packing import container_fill, packed
+from crowdsignal.sources.posts import symbols
 from crowdsignal.sources.tables import scored_submissions, table
 
 
+def _tickers(spark: SparkSession, sf: str) -> list[str]:
+    """The symbols of the tickers table, which has a fixed size, without what follows a dot or dash."""
+    return sorted({r["symbol"].split("-")[0] for r in symbols(table(spark, sf, "tickers")).collect()})
+
+
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     """Every submission once; deliveries of one id have the same texts and so the same score."""
-    scored = score_content(table(spark, sf, "submissions_reddit"), "id", ["title", "selftext"], table(spark, sf, "moderation_labels"), ["subreddit"])
+    scored = score_content(table(spark, sf, "submissions_reddit"), "id", ["title", "selftext"], table(spark, sf, "moderation_labels"), ["subreddit"], tickers=_tickers(spark, sf))
     return scored.distinct()
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Submissions with abusive, hateful or sexual content."""
-    scored = score_content(table(spark, sf, "submissions_reddit"), "id", ["title", "selftext"], table(spark, sf, "moderation_labels"))
+    scored = score_content(table(spark, sf, "submissions_reddit"), "id", ["title", "selftext"], table(spark, sf, "moderation_labels"), tickers=_tickers(spark, sf))
     return scored.where("flagged").select("id").distinct()
 
 

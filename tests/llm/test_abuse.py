@@ -85,3 +85,14 @@ def test_other_languages_are_scored(net):
     assert min(scores[: len(bad)]) > 0.5 > max(scores[len(bad) :])
     _, _, languages = Scorer(net).score([["Я думаю, что это не так, как мы хотели"], ["Ich weiß nicht, für wen das ist"]])
     assert [list(LANGUAGES)[k] for k in languages] == ["ru", "de"]
+
+
+def test_words_in_capitals_are_read():
+    r = Reader(known_words(), LANGUAGES["en"].split(), tickers=["GME", "F"])
+    assert r.sentences("you CUNT and KYS WXYZ, GME $ABC") == [["you", "cunt", "and", "kys", "wxyz", NAME, NAME]]
+    assert r.sentences("now FuckYou or DieScum you $LUT, MarbleCanyon") == [["now", "fuck", "you", "or", "die", "scum", "you", "slut", NAME, "marble", "canyon"]]
+
+
+def test_words_of_the_labels_become_known():
+    net = fit([("you are a total blorf today", "abuse")] * 8 + [(t, "none") for t in CLEAN * 3], epochs=1)
+    assert "blorf" in net.known and Scorer(net).reader.sentences("what a BLORF he is") == [["what", "a", "blorf", "he", "is"]]

@@ -26,26 +26,49 @@ def session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) ->
     return spark
 
 
+#: The folder made where the session names none, and the tables written since the last ``release``.
+_OWN: list[str] = []
+_STAGED: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors reach.
 
-    Only where the cluster names none, as in tests on one machine, a temporary folder is made and set.
+    Only where the session names none, as in tests on one machine, a temporary folder is made; the session's settings stay as they are.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if known is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        known = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(known)
-    return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return _OWN[0]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to; ``release`` deletes it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: computed once, lineage cut, executor loss survived."""
+    """Write ``df`` as a table in the shared folder and read it back: computed once, lineage cut, executor loss survived.
+
+    The job runs at once, not when the result is read.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables written so far, and return how many; to be called when the results built on them have been read."""
+    conf = spark._jsc.hadoopConfiguration()
+    paths, _STAGED[:] = list(_STAGED), []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from crowdsignal.operators.activity import activity_sessions, resolve_roots
+from crowdsignal.operators.activity import activity_sessions, event_links, resolve_roots
 
 
 def brute(events, gap):
@@ -51,3 +51,17 @@ def test_cycle_is_an_error(spark):
     links = spark.createDataFrame([("k", 1, 2), ("k", 2, 1)], "key string, node bigint, parent bigint")
     with pytest.raises(ValueError, match="cycle"):
         resolve_roots(links, most_rounds=3)
+
+
+def test_every_event_is_linked_to_the_one_before(spark, rows):
+    day = 86_400
+    moments = spark.createDataFrame([("a", t, 1) for t in (5, 1000, day - 10, day + 20, day + 5000)] + [("b", day + 1, 2), ("c", -100, 1), ("c", 50, 1)], "key string, t bigint, n bigint")
+    assert rows(event_links(moments, 1800).select("key", "t", "parent")) == sorted(
+        [("a", 5, None), ("a", 1000, 5), ("a", day - 10, None), ("a", day + 20, day - 10), ("a", day + 5000, None), ("b", day + 1, None), ("c", -100, None), ("c", 50, -100)],
+        key=lambda r: tuple((x is None, str(x)) for x in r),
+    )
+
+
+def test_roots_of_links_keep_other_columns(spark, rows):
+    links = spark.createDataFrame([("k", i, i - 1, 10 * i) for i in range(1, 40)] + [("m", 7, 3, 1)], "key string, node bigint, parent bigint, n int")
+    assert rows(resolve_roots(links).select("key", "node", "root", "n")) == rows(spark.createDataFrame([("k", i, 0, 10 * i) for i in range(1, 40)] + [("m", 7, 3, 1)], links.schema))

@@ -98,3 +98,15 @@ def test_staged_and_samples(spark):
     assert 700 < bounded_sample(df, "id", 1000).count() <= 1200
     assert bounded_sample(df, "id", 5000).count() == 5000
     assert bounded_sample(df.limit(0), "id", 10).count() == 0
+
+
+def test_stripping_is_linear_in_runs_of_blanks(spark):
+    import time
+
+    from crowdsignal.functions.text import unicode_strip
+
+    df = spark.createDataFrame([("a" + " " * 100_000 + "b  ",), (" " * 100_000,), (None,), (" 　x\x1c",)], "t string")
+    began = time.perf_counter()
+    out = [r[0] for r in df.select(unicode_strip(F.col("t"))).collect()]
+    assert time.perf_counter() - began < 5
+    assert out == ["a" + " " * 100_000 + "b", "", None, "x"]

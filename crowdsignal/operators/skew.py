@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 MOST_HOT_KEYS = 10_000
 
 
+def hot_keys(rows: DataFrame, key: str, rows_per_task: int = 50_000) -> DataFrame:
+    """(key): the keys that hold more than ``max(rows_per_task, rows / MOST_HOT_KEYS)`` rows, of which there are MOST_HOT_KEYS at most.
+
+    Nulls are no key. The rows of any other key fit in one task.
+    """
+    sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    limit = F.greatest(F.lit(float(rows_per_task)), rows.agg(F.count(F.lit(1)) / MOST_HOT_KEYS).scalar())
+    return sizes.where(F.col("_size") > limit).select(key)
+
+
 def join_per_key(rows: DataFrame, per_key: DataFrame, on: list[str], size: str, rows_per_task: int = 50_000) -> DataFrame:
     """Inner join of ``rows`` to ``per_key``, which has one row per key and in ``size`` the key's number of rows.
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crowdsignal.operators.frequency import frequent_keys, value_frequencies, weighted_profile
-from crowdsignal.operators.skew import join_per_key
+from crowdsignal.operators.skew import hot_keys, join_per_key
 
 
 def test_profiles_against_brute_force(spark):
@@ -41,3 +41,9 @@ def test_join_per_key_is_a_join(spark, rows_per_task, rows):
     sizes = df.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("k <> 'none'").withColumn("y", F.upper("k"))
     assert rows(join_per_key(df, sizes, ["k"], "size", rows_per_task)) == rows(df.join(sizes.drop("size"), "k").select("k", "x", "y"))
     assert join_per_key(df.limit(0), sizes.limit(0), ["k"], "size").count() == 0
+
+
+def test_hot_keys(spark, rows):
+    df = spark.createDataFrame([("hot", i) for i in range(50)] + [("warm", 1)] * 5 + [("cold", 1), (None, 3)] + [(None, 3)] * 60, "k string, x int")
+    assert rows(hot_keys(df, "k", 5)) == [("hot",)] and rows(hot_keys(df, "k", 4)) == [("hot",), ("warm",)]
+    assert hot_keys(df, "k").count() == hot_keys(df.limit(0), "k", 0).count() == 0

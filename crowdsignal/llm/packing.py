@@ -54,7 +54,7 @@ class BestFit:
         return self.made - 1
 
 
-def packed(items: DataFrame, id_: str, size: str, capacity: int = 512, open_bins: int = 64, items_per_block: int = 20_000) -> DataFrame:
+def packed(items: DataFrame, id_: str, size: str, capacity: int = 512, open_bins: int = 64, items_per_block: int = 20_000, n_items: int | None = None) -> DataFrame:
     """Assign every row of ``items`` to containers: (id, part, start, n_tokens, container).
 
     Only an item larger than the capacity is split: into parts that fill a container each, and a rest that is packed like
@@ -64,11 +64,14 @@ def packed(items: DataFrame, id_: str, size: str, capacity: int = 512, open_bins
     Items fall into blocks by a hash of their id, in which they come in the order of another hash, so that the result
     depends on neither files nor tasks and a task that runs again gives the same. Only ids and sizes are shuffled. A
     block is a stream: what a task holds is its open containers. A block's last containers stay part-filled, at most
-    ``open_bins`` of the several thousand that it has.
+    ``open_bins`` of the several thousand that it has. A task takes blocks one after the other, so their number may exceed that of
+    the tasks, which is the session's number of shuffle partitions at most. ``n_items``, if known, sets the number of blocks without
+    counting ``items``, which would compute their sizes once more.
     """
     if capacity < 1 or open_bins < 1:
         raise ValueError("capacity and open_bins must be at least 1")
-    blocks = max(1, -(-items.count() // items_per_block))
+    blocks = max(1, -(-(items.count() if n_items is None else n_items) // items_per_block))
+    tasks = min(blocks, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = items.schema[id_].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +96,7 @@ def packed(items: DataFrame, id_: str, size: str, capacity: int = 512, open_bins
         items[id_].alias("id"), F.coalesce(items[size].cast("int"), F.lit(0)).alias("n"),
         F.pmod(F.xxhash64(items[id_]), F.lit(blocks)).alias("block"), F.xxhash64(items[id_], F.lit(1)).alias("turn"),
     )
-    spread = sized.repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("block", "turn", "id", "n")
+    spread = sized.repartitionById(tasks, F.pmod("block", F.lit(tasks)).cast("int")).sortWithinPartitions("block", "turn", "id", "n")
     out = spread.select("id", "n", "block").mapInArrow(work, f"id {kind}, part int, start bigint, n_tokens int, container bigint")
     return out.withColumnRenamed("id", id_)
 

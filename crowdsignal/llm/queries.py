@@ -80,13 +80,10 @@ def p6_tokens_by_source(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _sized(spark: SparkSession, sf: str) -> DataFrame:
-    return token_counts(table(spark, sf, "documents"), "doc_id", "text")
-
-
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
-    """The container of 512 tokens of every document, or of its parts where it is longer."""
-    return packed(_sized(spark, sf), "doc_id", "n_tokens", 512)
+    """The container of 512 tokens of every document, or of its parts where it is longer. Rows are counted in the source, so texts are encoded once."""
+    docs = table(spark, sf, "documents")
+    return packed(token_counts(docs, "doc_id", "text"), "doc_id", "n_tokens", 512, n_items=docs.count())
 
 
 def p7_fill(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,9 +3,10 @@ import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from crowdsignal.llm.capping import capped, over_cap
-from crowdsignal.llm.copies import collapsed, copies
+from crowdsignal.llm.capping import capped, hashed_draw, ordered_draw, over_cap
+from crowdsignal.llm.copies import collapsed, copies, merkle_node
 
 
 def records(spark, rows):
@@ -13,7 +14,8 @@ def records(spark, rows):
     return df.withColumn("_key", F.lit("kept")).withColumn("_size", F.lit(1))
 
 
-def test_cap_against_brute_force(spark):
+@pytest.mark.parametrize("rows_per_task", [5, 50_000])
+def test_cap_against_brute_force(spark, rows_per_task):
     rng = random.Random(2)
     rows = [(f"r{k:04}", rng.choice(["hot", "hot", "hot", "b", None, "c"]), rng.choice([None, -1.0, 0.0, 1.0, 7.5])) for k in range(400)]
     df = records(spark, rows)
@@ -21,10 +23,11 @@ def test_cap_against_brute_force(spark):
     for who in ("hot", "b", "c"):
         own = sorted((r for r in rows if r[1] == who), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
         lost += own[20:]
-    out = over_cap(df, "who", "score", "id", 20)
+    out = over_cap(df, "who", "score", "id", 20, rows_per_task=rows_per_task)
     assert sorted(r["id"] for r in out.collect()) == sorted(r[0] for r in lost)
     assert out.columns == df.columns and {r["_key"] for r in out.collect()} == {"kept"}
-    assert capped(df, "who", "score", "id", 20, temperature=0).count() == 400 - len(lost)
+    assert capped(df, "who", "score", "id", 20, temperature=0, rows_per_task=rows_per_task).count() == 400 - len(lost)
+    assert over_cap(df, "who", "score", "id", 399, rows_per_task=1).count() == 0
 
 
 def test_cap_of_fewer_missing_scores_and_empty(spark):
@@ -36,6 +39,18 @@ def test_cap_of_fewer_missing_scores_and_empty(spark):
         over_cap(df, "who", "score", "id", 0)
 
 
+def test_draws(spark):
+    ids = ["", "a", "ab", "abc1234", "abc1235", "b", "é", "日本", "😀"]
+    df = spark.createDataFrame([(i, k - 4) for k, i in enumerate(ids)], "id string, n bigint")
+    out = df.select("id", ordered_draw(F.col("id"), "string").alias("u"), ordered_draw(F.col("n"), "bigint").alias("v"), hashed_draw(F.col("id"), 3).alias("h")).collect()
+    for name in ("u", "v"):
+        drawn = [r[name] for r in sorted(out, key=lambda r: ids.index(r["id"]))]
+        assert drawn == sorted(drawn, reverse=True) and 0 < drawn[-1] and drawn[0] < 1
+    assert len({r["u"] for r in out}) == len(ids) - 1  # two ids share their first six bytes
+    many = [r[0] for r in spark.range(4000).select(hashed_draw(F.col("id"), 0)).collect()]
+    assert 0 < min(many) and max(many) < 1 and sum(many) / 4000 == pytest.approx(0.5, abs=0.02)
+
+
 def test_weighted_sample_prefers_high_scores_and_repeats(spark):
     df = records(spark, [(f"r{k}", f"w{k % 200}", 99.0 if (k // 200) % 2 else 0.0) for k in range(4000)])  # 20 each, half of weight 100, half of 1
     once = capped(df, "who", "score", "id", 5)
@@ -83,3 +98,23 @@ def test_order_of_fields_counts_on_request(spark):
 def test_nested_records(spark):
     df = spark.createDataFrame([("1", {"k": "A b", "l": None}, ["x", "y"]), ("2", {"l": "", "k": "a B!"}, ["Y", "X."]), ("3", {"k": "ab"}, ["xy"])], "id string, m map<string,string>, l array<string>")
     assert [tuple(r) for r in copies(df, "id", ["m", "l"], least=1).collect()] == [("1", "2")]
+
+
+def test_digests_of_nested_records_are_of_sorted_child_digests(spark):
+    import hashlib
+
+    kind = T.StructType().add("a", T.StringType()).add("b", T.ArrayType(T.StringType()))
+    df = spark.createDataFrame([(("X y", ["q", "P!"]),), ((None, None),)], T.StructType().add("r", kind))
+    found = [r[0] for r in df.select(merkle_node(F.col("r"), kind)).collect()]
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    inner = md5("".join(sorted([md5("q"), md5("p")])))
+    assert found[0]["digest"] == md5("".join(sorted([md5("xy"), inner]))) and found[0]["size"] == 4
+    assert found[1]["size"] == 0
+
+
+def test_records_that_share_a_digest_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(F, "md5", lambda c: F.lit("00" * 16))  # every digest is the same
+    texts = ["one long enough text to count", "ONE long, enough text to count!", "another text of the same kind", "x"]
+    rows = [(f"i{k:02}", texts[k % 4], None) for k in range(40)]
+    df = spark.createDataFrame(rows, "id string, a string, b string")
+    assert sorted(map(tuple, copies(df, "id", ["a", "b"]).collect())) == brute(rows)

@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from crowdsignal.functions.text import number
+from crowdsignal.operators.skew import MOST_HOT_KEYS
+from crowdsignal.session import staged
+
+#: Keys of many distinct values have them cut into CUTS + 1 bins of about as many values each.
+CUTS = 255
+_STEP = 16
 
 
 def value_frequencies(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -29,13 +35,35 @@ def key_sizes(freq: DataFrame) -> DataFrame:
 
 
 def frequent_keys(freq: DataFrame, percent: int = 3) -> DataFrame:
-    """Non-null keys that hold at least ``percent`` of all rows, those of a null key counted in the total."""
-    sizes = key_sizes(freq)
+    """Non-null keys that hold at least ``percent`` of all rows, those of a null key counted in the total.
+
+    The sizes, a row per key, are written, as the total needs them too and the table is read once.
+    """
+    sizes = staged(key_sizes(freq), "sizes")
     total = sizes.agg(F.sum("n")).scalar()
     return sizes.where(F.col("key").isNotNull() & (F.col("n") * 100 >= F.lit(percent) * total))
 
 
-def weighted_profile(freq: DataFrame, probs: Sequence[float] = (0.25, 0.5, 0.9)) -> DataFrame:
+def _binned(valued: DataFrame, values_per_bin: int) -> DataFrame:
+    """(key, value, n, bin): bins follow the order of values; no bin of a key of more than ``values_per_bin`` values holds many of them.
+
+    The cuts are approximate quantiles of such a key's distinct values, whatever their range, so a bin holds about 1/256 of them.
+    As the limit is at least the 10,000th part of all values, there are at most MOST_HOT_KEYS such keys to broadcast. Other keys are one bin.
+    """
+    counts = valued.groupBy("key").agg(F.count(F.lit(1)).alias("_values"))
+    limit = F.greatest(F.lit(float(values_per_bin)), valued.agg(F.count(F.lit(1)) / MOST_HOT_KEYS).scalar())
+    large = counts.where(F.col("_values") > limit).select("key")
+    places = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
+    cuts = valued.join(F.broadcast(large), "key").groupBy("key").agg(F.percentile_approx("value", places, 2000).alias("_cuts"))
+    below = lambda part: F.size(F.filter(part, lambda c: c < F.col("value")))
+    # a cut in sixteen first, then the sixteen cuts between: 32 comparisons instead of 255
+    coarse = below(F.array(*(F.col("_cuts")[k] for k in range(_STEP - 1, CUTS, _STEP))))
+    placed = valued.join(F.broadcast(cuts), "key", "left").withColumn("_coarse", F.when(F.col("_cuts").isNotNull(), coarse))
+    fine = F.col("_coarse") * _STEP + below(F.slice("_cuts", F.col("_coarse") * _STEP + 1, F.lit(_STEP)))
+    return placed.select("key", "value", "n", F.coalesce(F.when(F.col("_cuts").isNotNull(), fine), F.lit(0)).alias("bin"))
+
+
+def weighted_profile(freq: DataFrame, probs: Sequence[float] = (0.25, 0.5, 0.9), values_per_bin: int = 100_000) -> DataFrame:
     """One row per non-null key from (key, value, n): counts, mean, mode and exact percentiles.
 
     Columns: key, n_rows, n_values (rows with a value), n_distinct, mean, min_value, max_value, mode (the smallest of
@@ -43,13 +71,12 @@ def weighted_profile(freq: DataFrame, probs: Sequence[float] = (0.25, 0.5, 0.9))
     A key without any value gets n_rows, zeros and nulls.
 
     Cumulative weights need the values of a key in order, which one task would get in a plain window over the key.
-    Here values are first laid into bins that grow with the value (64 to a factor of e), so that a window sees one bin
-    of one key; the bins of a key, at most some ninety thousand however many rows it has, are accumulated on their own.
+    Here the values of a key that has more than ``values_per_bin`` are first laid into bins between approximate quantiles, so that a
+    window sees one bin of one key; the bins of a key, at most 256, are accumulated on their own.
     """
     freq = freq.where(F.col("key").isNotNull())
     valued = freq.where(F.col("value").isNotNull()).select("key", F.col("value").cast("double").alias("value"), "n")
-    bin_ = F.signum("value") * F.floor(F.log1p(F.abs("value")) * 64)
-    binned = valued.withColumn("bin", F.coalesce(bin_.cast("long"), F.lit(0)))
+    binned = _binned(valued, values_per_bin)
     bins = binned.groupBy("key", "bin").agg(F.sum("n").alias("bin_n"))
     ordered = W.partitionBy("key").orderBy("bin")
     bins = bins.select(

@@ -5,15 +5,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crowdsignal.operators.frequency import frequent_keys, value_frequencies, weighted_profile
+from crowdsignal.operators.frequency import _binned, frequent_keys, value_frequencies, weighted_profile
 from crowdsignal.operators.skew import hot_keys, join_per_key
 
 
-def test_profiles_against_brute_force(spark):
+@pytest.mark.parametrize("values_per_bin", [20, 100_000])
+def test_profiles_against_brute_force(spark, values_per_bin):
     rng = random.Random(1)
     data = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.choice([None, float("nan"), -3.5, 0.0, 1e9, rng.randint(-5, 300) / 4])) for _ in range(4000)]
     df = spark.createDataFrame([(*x, "clash", 1, 2) for x in data] + [("novalue", None, "", 0, 0)], "k string, v double, key string, n int, value int")
-    out = {r["key"]: r for r in weighted_profile(value_frequencies(df, "k", "v")).collect()}
+    out = {r["key"]: r for r in weighted_profile(value_frequencies(df, "k", "v"), values_per_bin=values_per_bin).collect()}
     assert set(out) == {"hot", "a", "b", "novalue"}
     for k in ("hot", "a", "b"):
         own = [v for key, v in data if key == k]
@@ -47,3 +48,12 @@ def test_hot_keys(spark, rows):
     df = spark.createDataFrame([("hot", i) for i in range(50)] + [("warm", 1)] * 5 + [("cold", 1), (None, 3)] + [(None, 3)] * 60, "k string, x int")
     assert rows(hot_keys(df, "k", 5)) == [("hot",)] and rows(hot_keys(df, "k", 4)) == [("hot",), ("warm",)]
     assert hot_keys(df, "k").count() == hot_keys(df.limit(0), "k", 0).count() == 0
+
+
+@pytest.mark.parametrize(("low", "high"), [(0.0, 0.01), (1e9, 1e9 + 1), (-3.0, 3.0)])
+def test_no_bin_holds_many_of_a_keys_values(spark, low, high):
+    values = spark.range(200_000).select(F.lit("hot").alias("key"), (F.lit(low) + F.rand(3) * (high - low)).alias("value"), F.lit(1).alias("n")).distinct()
+    binned = _binned(values, 1000)
+    assert binned.groupBy("key", "bin").count().agg(F.max("count")).first()[0] < 200_000 / 100
+    edges = binned.groupBy("bin").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).orderBy("bin").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(edges, edges[1:])) and len(edges) > 200

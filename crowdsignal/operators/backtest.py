@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from crowdsignal.operators.crosssection import percent_rank
+from crowdsignal.session import staged
 
 #: Periods by their alias: W ends on Sunday, as Spark's weeks do.
 PERIODS = {"ME": "month", "QE": "quarter", "YE": "year", "W": "week", "D": "day"}
@@ -46,12 +47,14 @@ def backtest_daily(
     Ranks use all tickers with a signal; unpriced ones are dropped then, and what is left isn't scaled up. A missing return counts 0.
     Turnover is the sum of absolute changes of weight, over the names of both books, and 0 on the first day. No signal gives no rows.
 
-    Weights change at rebalances only, so turnover is found by joining each book to the one before, not on a grid of sessions.
+    Weights change at rebalances only, so turnover is found by joining each book to the one before, not on a grid of sessions. The
+    books, which hold one date in a period, are written once.
     """
     keys = list(keys)
-    picks = rebalance_dates(signal, keys, rebalance)
+    picks = staged(rebalance_dates(signal, keys, rebalance), "picks")
     on_dates = signal.join(picks.withColumnRenamed("rebal", "d"), [*keys, "d"], "left_semi")
     books = quantile_weights(on_dates, keys, quantiles, long_only).join(priced.select("ticker").distinct(), "ticker", "left_semi").withColumnRenamed("d", "rebal")
+    books = staged(books, "books")
     # the book of each session, and the book before it where it is new
     spans = signal.where("value IS NOT NULL").groupBy(*keys).agg(F.max("d").alias("_last"))
     days = spans.withColumn("d", F.explode(calendar.agg(F.array_sort(F.collect_list("d"))).scalar()))  # some 250 dates a year

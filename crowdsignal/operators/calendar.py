@@ -19,19 +19,23 @@ def session_calendar(dates: DataFrame, date: str = "date") -> DataFrame:
     return found.withColumn("i", F.row_number().over(W.orderBy("d")) - 1)
 
 
+def next_sessions(calendar: DataFrame) -> DataFrame:
+    """(day, d, i): every date of the calendar's span with the first session from it on; a join by equality then finds it."""
+    span = calendar.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    days = span.select(F.explode(F.sequence("lo", "hi")).alias("day")).join(calendar.select(F.col("d").alias("day"), F.struct("d", "i").alias("s")), "day", "left")
+    ahead = F.first("s", ignorenulls=True).over(W.orderBy("day").rowsBetween(0, W.unboundedFollowing))
+    return days.select("day", ahead.alias("s")).select("day", "s.d", "s.i")
+
+
 def roll_to_session(posts: DataFrame, calendar: DataFrame, time: str = "created_utc", zone: str = "America/New_York", close_hour: int = 16, name: str = "trade_date") -> DataFrame:
     """``posts`` with the session on which they can first be traded.
 
     That is the first session from the local date on, or from the day after for posts at or after the closing hour. Posts before
     the first session go to it; those past the last, and those without a time, get null. An empty calendar is an error.
-
-    Every date of the calendar's span is given its next session, so that the join is by equality.
     """
     if calendar.isEmpty():
         raise ValueError("the calendar has no session")
-    span = calendar.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    days = span.select(F.explode(F.sequence("lo", "hi")).alias("_need"), "lo").join(calendar.select(F.col("d").alias("_need"), F.col("d").alias("s")), "_need", "left")
-    ahead = days.select("_need", F.first("s", ignorenulls=True).over(W.orderBy("_need").rowsBetween(0, W.unboundedFollowing)).alias(name))
+    ahead = next_sessions(calendar).select(F.col("day").alias("_need"), F.col("d").alias(name))
     local = F.from_utc_timestamp(F.col(time).cast("timestamp"), zone)
     need = F.when(F.hour(local) < close_hour, F.to_date(local)).otherwise(F.date_add(F.to_date(local), 1))
     first = calendar.agg(F.min("d")).scalar()

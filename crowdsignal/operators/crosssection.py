@@ -10,11 +10,12 @@ from pyspark.sql import Window as W
 
 
 def average_rank(value: str, by: Sequence[str]) -> Column:
-    """The rank of a value among the non-null ones of its group, ties sharing their average; null for null."""
-    rows = W.partitionBy(*by)
-    before = F.rank().over(rows.orderBy(F.col(value).asc_nulls_last()))
-    ties = F.count(F.lit(1)).over(W.partitionBy(*by, value))
-    return F.when(F.col(value).isNotNull(), before + (ties - 1) / 2.0)
+    """The rank of a value among the non-null ones of its group, ties sharing their average; null for null.
+
+    One window says both how many values are smaller and, as its frame takes equals in, how many aren't greater.
+    """
+    upto = W.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
+    return F.when(F.col(value).isNotNull(), (F.rank().over(upto) + F.count(value).over(upto)) / 2.0)
 
 
 def percent_rank(value: str, by: Sequence[str]) -> Column:
@@ -22,23 +23,23 @@ def percent_rank(value: str, by: Sequence[str]) -> Column:
     return average_rank(value, by) / F.count(value).over(W.partitionBy(*by))
 
 
-def daily_rank_ic(signal: DataFrame, outcome: DataFrame, dates: DataFrame, keys: Sequence[str] = ("variant",), min_pairs: int = 20) -> DataFrame:
+def daily_rank_ic(signal: DataFrame, outcome: DataFrame | None, dates: DataFrame, keys: Sequence[str] = ("variant",), min_pairs: int = 20) -> DataFrame:
     """(*keys, d, n_pairs, ic): rank correlation of signal and outcome on each date.
 
-    ``signal`` has (*keys, d, ticker, value), ``outcome`` (d, ticker, ret), ``dates`` the sessions (d) of the outcome. Only tickers with both
-    count, and are ranked among these. A date of the signal that is a session but has fewer than ``min_pairs`` pairs, or no variance,
-    has a null ic. No signal gives no rows.
+    ``signal`` has (*keys, d, ticker, value), ``outcome`` (d, ticker, ret), ``dates`` the sessions (d) of the outcome; without ``outcome``, the
+    signal has the column ret beside it. Only tickers with both count, and are ranked among these. A date of the signal that is
+    a session but has fewer than ``min_pairs`` pairs, or no variance, has a null ic. No signal gives no rows.
+
+    Both ranks and the sums over a date take one shuffle. The mean of average ranks of n values is (n + 1) / 2.
     """
     by = [*keys, "d"]
-    pairs = signal.where("value IS NOT NULL").join(outcome.where("ret IS NOT NULL"), ["d", "ticker"])
-    ranked = pairs.select(*by, average_rank("value", by).alias("a"), average_rank("ret", by).alias("b"))
-    mean = W.partitionBy(*by)
-    centred = ranked.select(*by, (F.col("a") - F.avg("a").over(mean)).alias("a"), (F.col("b") - F.avg("b").over(mean)).alias("b"))
-    ic = F.sum(F.col("a") * F.col("b")) / F.nullif(F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b"))), F.lit(0.0))
-    found = centred.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), ic.alias("ic"))
-    every = signal.select(*by).distinct().join(F.broadcast(dates.select("d")), "d").select(*by)
-    out = every.join(found, by, "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0).cast("long")))
-    return out.withColumn("ic", F.when(F.col("n_pairs") >= min_pairs, F.col("ic"))).select(*by, "n_pairs", "ic")
+    both = signal if outcome is None else signal.select(*by, "ticker", "value").join(outcome.where("ret IS NOT NULL"), ["d", "ticker"], "left")
+    paired = both.join(F.broadcast(dates.select("d")), "d").select(*by, F.when(F.col("ret").isNotNull(), F.col("value")).alias("value"), F.when(F.col("value").isNotNull(), F.col("ret")).alias("ret"))
+    ranked = paired.select(*by, average_rank("value", by).alias("a"), average_rank("ret", by).alias("b"))
+    sums = ranked.groupBy(*by).agg(F.count("a").alias("n_pairs"), *(F.sum(F.col(x) * F.col(y)).alias(x + y) for x, y in ("ab", "aa", "bb")))
+    squared_mean = F.col("n_pairs") * F.pow((F.col("n_pairs") + 1) / 2.0, F.lit(2.0))
+    ic = (F.col("ab") - squared_mean) / F.nullif(F.sqrt((F.col("aa") - squared_mean) * (F.col("bb") - squared_mean)), F.lit(0.0))
+    return sums.select(*by, "n_pairs", F.when(F.col("n_pairs") >= min_pairs, ic).alias("ic"))
 
 
 def daily_spearman(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from crowdsignal.operators.calendar import padded_returns
+from crowdsignal.operators.calendar import next_sessions, padded_returns
 
 
 def mention_spikes(cells: DataFrame, by: Sequence[str] = (), share: float = 0.99, floor: float = 3.0) -> DataFrame:
@@ -30,12 +30,14 @@ def market_returns(returns: DataFrame, symbol: str = "SPY") -> DataFrame:
 def event_windows(events: DataFrame, closed: DataFrame, calendar: DataFrame, window: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """(*by, d, ticker, offset, ar, car) of events whose whole window has abnormal returns: the ticker's return less the market's.
 
-    ``events`` has (*by, d, ticker), d any date, which counts as the first session from it on. Windows that reach over either end of the
-    calendar, and those with a missing return, are dropped. Each event becomes 2 * window + 1 rows, joined by equality.
+    ``events`` has (*by, d, ticker), d any date, which counts as the first session from it on; d stays as it was. Events outside the
+    calendar, windows that reach over either of its ends, and those with a missing return, are dropped. Each event becomes
+    2 * window + 1 rows, joined by equality.
     """
     returns = padded_returns(closed, calendar)
     abnormal = returns.join(F.broadcast(market_returns(returns)), "i").select("ticker", "i", (F.col("ret") - F.col("market")).alias("ar")).where("ar IS NOT NULL")
-    placed = events.select(*by, "d", "ticker").join(F.broadcast(calendar), "d").withColumn("offset", F.explode(F.sequence(F.lit(-window), F.lit(window))))
+    sessions = next_sessions(calendar).select(F.col("day").alias("d"), "i")
+    placed = events.select(*by, "d", "ticker").join(F.broadcast(sessions), "d").withColumn("offset", F.explode(F.sequence(F.lit(-window), F.lit(window))))
     cells = placed.withColumn("i", F.col("i") + F.col("offset")).join(abnormal, ["ticker", "i"])
     event = W.partitionBy(*by, "ticker", "d")
     whole = cells.withColumn("_n", F.count(F.lit(1)).over(event)).where(F.col("_n") == 2 * window + 1)

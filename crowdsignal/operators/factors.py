@@ -30,11 +30,11 @@ def daily_cells(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*by, "d", "ticker").agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("s"), F.avg("p").alias("m"), F.count(F.lit(1)).alias("n"))
 
 
-def factor_variants(cells: DataFrame, by: Sequence[str] = (), shrinkage_k: float = 10.0) -> DataFrame:
-    """(*by, d, ticker, variant, value): the four factors of each cell, in one pass."""
+def factor_variants(cells: DataFrame, by: Sequence[str] = (), shrinkage_k: float = 10.0, keep: Sequence[str] = ()) -> DataFrame:
+    """(*by, d, ticker, *keep, variant, value): the four factors of each cell, in one pass; ``keep`` are columns of the cell to repeat."""
     values = {"sum_sent_x_attn": F.col("s") * F.log1p("n"), "mean_sent": F.col("m"), "attn_log": F.log1p("n"), "shrinkage_sent": F.col("m") * F.col("n") / (F.col("n") + F.lit(float(shrinkage_k)))}
-    wide = cells.select(*by, "d", "ticker", *(values[v].cast("double").alias(v) for v in VARIANTS))
-    return wide.unpivot([*by, "d", "ticker"], list(VARIANTS), "variant", "value")
+    wide = cells.select(*by, "d", "ticker", *keep, *(values[v].cast("double").alias(v) for v in VARIANTS))
+    return wide.unpivot([*by, "d", "ticker", *keep], list(VARIANTS), "variant", "value")
 
 
 def by_forum_and_pooled(scored: DataFrame) -> DataFrame:

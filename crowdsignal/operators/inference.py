@@ -1,7 +1,7 @@
 """Means of daily series with plain and autocorrelation-robust t-statistics, and least squares on panels.
 
-Regressions are moments: Spark sums cross products, in one row per group, and 4 by 4 systems are solved inside a task over these few
-rows. Nothing is collected.
+Regressions are moments: Spark sums cross products of centred columns, in one row per group, and the small systems of all groups of a
+batch are solved at once inside a task. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from crowdsignal.operators.frequency import value_frequencies, weighted_profile
+
 
 def newey_west(series: DataFrame, keys: Sequence[str], value: str, order: str = "d", lags: int = 5, min_obs: int = 10) -> DataFrame:
     """(*keys, n, mean, nw_se, nw_t): mean of a series with its Newey-West error, Bartlett weights over ``lags``.
@@ -54,90 +56,108 @@ def stack_panel(**signals: DataFrame) -> DataFrame:
     return out
 
 
-def _design(x: Sequence[str]) -> list[Column]:
-    return [F.lit(1.0), *(F.col(c) for c in x)]
-
-
 def _pairs(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
-def _filled(row: pd.Series, k: int, prefix: str) -> np.ndarray:
-    out = np.zeros((k, k))
+def _filled(rows: pd.DataFrame, k: int, prefix: str) -> np.ndarray:
+    """The symmetric k by k matrices of all rows, stacked."""
+    out = np.zeros((len(rows), k, k))
     for i, j in _pairs(k):
-        out[i, j] = out[j, i] = row[f"{prefix}{i}_{j}"]
+        out[:, i, j] = out[:, j, i] = rows[f"{prefix}{i}_{j}"]
     return out
 
 
+def _kept(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    return [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys]
+
+
 def _solved(moments: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    """(*keys, n, yy, y, b0..): coefficients by pseudo-inverse, as singular groups must not fail."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in moments.schema.fields if f.name in keys), "n bigint, _yy double, _y double", *(f"_b{i} double" for i in range(k)), *(f"_i{i}_{j} double" for i, j in _pairs(k))])
+    """(*keys, _yy, means, _b0.., _i0_0..): slopes of centred columns by pseudo-inverse, as singular groups must not fail."""
+    means = ["_my", *(f"_m{i}" for i in range(k))]
+    names = ["_yy", *means, *(f"_b{i}" for i in range(k)), *(f"_i{i}_{j}" for i, j in _pairs(k))]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for _, row in batch.iterrows():
-                inverse = np.linalg.pinv(_filled(row, k, "_x"))
-                b = inverse @ np.array([row[f"_xy{i}"] for i in range(k)])
-                rows.append([*(row[c] for c in keys), row["n"], row["_yy"], row["_y"], *b, *(inverse[i, j] for i, j in _pairs(k))])
-            yield pd.DataFrame(rows, columns=[*keys, "n", "_yy", "_y", *(f"_b{i}" for i in range(k)), *(f"_i{i}_{j}" for i, j in _pairs(k))])
+            inverse = np.linalg.pinv(_filled(batch, k, "_x"), hermitian=True)
+            slopes = np.einsum("gij,gj->gi", inverse, batch[[f"_xy{i}" for i in range(k)]].to_numpy(float))
+            out = {c: batch[c] for c in (*keys, "_yy", *means)} | {f"_b{i}": slopes[:, i] for i in range(k)} | {f"_i{i}_{j}": inverse[:, i, j] for i, j in _pairs(k)}
+            yield pd.DataFrame(out)
 
-    return moments.mapInPandas(work, schema)
+    return moments.mapInPandas(work, ", ".join([*_kept(moments, keys), *(f"{c} double" for c in names)]))
 
 
-def _fitted(panel: DataFrame, keys: Sequence[str], y: str, x: Sequence[str]) -> DataFrame:
-    design, k = _design(x), len(x) + 1
-    sums = [F.sum(design[i] * design[j]).alias(f"_x{i}_{j}") for i, j in _pairs(k)] + [F.sum(design[i] * F.col(y)).alias(f"_xy{i}") for i in range(k)]
-    moments = panel.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y) * F.col(y)).alias("_yy"), F.sum(y).alias("_y"), *sums)
-    return _solved(moments, keys, k)
+def _residuals(panel: DataFrame, keys: Sequence[str], y: str, x: Sequence[str]) -> DataFrame:
+    """The panel with centred regressors _z0.., residual _e and the fit of its group.
 
+    Means come first and are taken off, so that cross products don't cancel for columns far from zero. Groups are few, as months or
+    forums are: there is a row of each to broadcast.
+    """
+    k, keys = len(x), list(keys)
+    means = panel.groupBy(*keys).agg(F.avg(y).alias("_my"), *(F.avg(c).alias(f"_m{i}") for i, c in enumerate(x)))
+    centre = [(F.col(y) - F.col("_my")).alias("_yc"), *((F.col(c) - F.col(f"_m{i}")).alias(f"_z{i}") for i, c in enumerate(x))]
+    z = [F.col(f"_z{i}") for i in range(k)]
+    sums = [F.sum(z[i] * z[j]).alias(f"_x{i}_{j}") for i, j in _pairs(k)] + [F.sum(z[i] * F.col("_yc")).alias(f"_xy{i}") for i in range(k)]
+    first = [F.first(c).alias(c) for c in means.columns if c not in keys]
+    centred = panel.join(F.broadcast(means), keys).select("*", *centre)
+    fits = _solved(centred.groupBy(*keys).agg(F.sum(F.col("_yc") * F.col("_yc")).alias("_yy"), *first, *sums), keys, k)
+    rows = panel.join(F.broadcast(fits), keys).select("*", *centre)
+    return rows.withColumn("_e", F.col("_yc") - sum((F.col(f"_b{i}") * z[i] for i in range(k)), F.lit(0.0)))
 
-def _with_errors(meat: DataFrame, keys: Sequence[str], x: Sequence[str], small_sample: bool, min_obs: int) -> DataFrame:
-    k = len(x) + 1
-    names = ["const", *x]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in meat.schema.fields if f.name in keys), "n bigint, r2 double, name string, beta double, se double, z double, p double, lower double, upper double"])
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for _, row in batch.iterrows():
-                n, inverse = row["n"], _filled(row, k, "_i")
-                var = inverse @ _filled(row, k, "_m") @ inverse * (n / (n - k) if small_sample and n > k else np.nan if small_sample else 1.0)
-                total = row["_yy"] - row["_y"] ** 2 / n
-                r2 = 1 - row["_rss"] / total if total > 0 else None
-                for i, name in enumerate(names):
-                    b, v = row[f"_b{i}"], var[i, i]
-                    se = math.sqrt(v) if v > 0 else None
-                    z = b / se if se else None
-                    p = math.erfc(abs(z) / math.sqrt(2)) if z is not None else None
-                    tail = [se, z, p, b - 1.959963984540054 * se, b + 1.959963984540054 * se] if se else [None] * 5
-                    rows.append([*(row[c] for c in keys), n, r2, name, b, *tail] if n >= min_obs else [*(row[c] for c in keys), n, None, name, *[None] * 6])
-            yield pd.DataFrame(rows, columns=[*keys, "n", "r2", "name", "beta", "se", "z", "p", "lower", "upper"]).astype({c: "Float64" for c in ("r2", "beta", "se", "z", "p", "lower", "upper")})
+def _design(k: int) -> list[Column]:
+    return [F.lit(1.0), *(F.col(f"_z{i}") for i in range(k))]
 
-    return meat.mapInPandas(work, schema)
 
+def _fit_columns(k: int) -> list[str]:
+    return ["_yy", "_my", *(f"_m{i}" for i in range(k)), *(f"_b{i}" for i in range(k)), *(f"_i{i}_{j}" for i, j in _pairs(k))]
 
-def _residuals(panel: DataFrame, fits: DataFrame, keys: Sequence[str], y: str, x: Sequence[str]) -> DataFrame:
-    """The panel with its residual _e and the fit of its group; there is a row per group, as a month or a forum, to broadcast."""
-    joined = panel.join(F.broadcast(fits), list(keys))
-    fit = sum((d * F.col(f"_b{i}") for i, d in enumerate(_design(x))), F.lit(0.0))
-    return joined.withColumn("_e", F.col(y) - fit)
 
+def _with_errors(meat: DataFrame, keys: Sequence[str], x: Sequence[str], small_sample: bool, min_obs: int) -> DataFrame:
+    """A row per group and coefficient. Errors are made for centred regressors and carried over to the intercept of the columns as given."""
+    k, names, numbers = len(x), ["const", *x], ("r2", "beta", "se", "z", "p", "lower", "upper")
 
-def _first(k: int) -> list[Column]:
-    return [F.first(c).alias(c) for c in ("_yy", "_y", *(f"_b{i}" for i in range(k)), *(f"_i{i}_{j}" for i, j in _pairs(k)))]
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            n, size = g["n"].to_numpy(float), len(g)
+            inverse = np.zeros((size, k + 1, k + 1))
+            inverse[:, 0, 0] = 1 / n
+            inverse[:, 1:, 1:] = _filled(g, k, "_i")
+            shift = np.tile(np.eye(k + 1), (size, 1, 1))  # intercept = mean of y less slopes times means
+            shift[:, 0, 1:] = -g[[f"_m{i}" for i in range(k)]].to_numpy(float)
+            bread = shift @ inverse
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scale = np.where(n > k + 1, n / (n - k - 1), np.nan) if small_sample else np.ones(size)
+                variance = np.einsum("gii->gi", bread @ _filled(g, k + 1, "_v") @ bread.transpose(0, 2, 1)) * scale[:, None]
+                beta = np.einsum("gij,gj->gi", shift, g[["_my", *(f"_b{i}" for i in range(k))]].to_numpy(float))
+                se = np.where(variance > 0, np.sqrt(variance), np.nan)
+                z = beta / se
+                total = g["_yy"].to_numpy(float)
+                r2 = np.where(total > 0, 1 - g["_rss"].to_numpy(float) / total, np.nan)
+            p = np.vectorize(lambda v: math.erfc(abs(v) / math.sqrt(2)), otypes=[float])(z)
+            for i, name in enumerate(names):
+                values = (r2, beta[:, i], se[:, i], z[:, i], p[:, i], beta[:, i] - 1.959963984540054 * se[:, i], beta[:, i] + 1.959963984540054 * se[:, i])
+                shown = {c: pd.Series(np.where(n >= min_obs, v, np.nan)).astype("Float64") for c, v in zip(numbers, values, strict=True)}
+                shown = {c: v.mask(v.isna() | np.isnan(v.to_numpy(float, na_value=np.nan))) for c, v in shown.items()}
+                yield pd.DataFrame({c: g[c].reset_index(drop=True) for c in (*keys, "n")} | {"r2": shown["r2"], "name": name} | {c: shown[c] for c in numbers[1:]})
+
+    schema = ", ".join([*_kept(meat, keys), "n bigint, r2 double, name string", *(f"{c} double" for c in numbers[1:])])
+    return meat.mapInPandas(work, schema)
 
 
 def ols_robust(panel: DataFrame, keys: Sequence[str], y: str, x: Sequence[str], min_obs: int = 0) -> DataFrame:
     """Least squares with an intercept per group, errors robust to heteroskedasticity (HC1): a row per group and coefficient.
 
-    (*keys, n, r2, name, beta, se, z, p, lower, upper). There is at least one key; groups are few, as months are, and each is solved by
-    pseudo-inverse.
+    (*keys, n, r2, name, beta, se, z, p, lower, upper). There is at least one key. The panel is read three times: write it first if it is
+    costly to make. Groups are few, as months are. Where regressors are collinear, the smallest slopes are taken.
     """
-    k, design = len(x) + 1, _design(x)
-    rows = _residuals(panel, _fitted(panel, keys, y, x).drop("n"), keys, y, x)
+    k = len(x)
+    design = _design(k)
     e2 = F.col("_e") * F.col("_e")
-    meat = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(e2).alias("_rss"), *(F.sum(e2 * design[i] * design[j]).alias(f"_m{i}_{j}") for i, j in _pairs(k)), *_first(k))
+    meat = _residuals(panel, keys, y, x).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(e2).alias("_rss"), *(F.sum(e2 * design[i] * design[j]).alias(f"_v{i}_{j}") for i, j in _pairs(k + 1)),
+        *(F.first(c).alias(c) for c in _fit_columns(k)),
+    )
     return _with_errors(meat, keys, x, True, min_obs)
 
 
@@ -163,21 +183,23 @@ def ols_hac(panel: DataFrame, keys: Sequence[str], y: str, x: Sequence[str], lag
     Rows are ordered by ticker, then date, and lags run over this order, from the end of one ticker into the next. A group of fewer
     than ``min_obs`` rows keeps its n and has null coefficients.
     """
-    k, design = len(x) + 1, _design(x)
-    fits = _fitted(panel, keys, y, x).drop("n")
-    rows = panel_order(_residuals(panel, fits, keys, y, x), keys, block, lags)
-    u = rows.select(*keys, "_block", "_at", "_own", "_e", *(c for c in fits.columns if c not in keys), *((F.col("_e") * design[i]).alias(f"_u{i}") for i in range(k)))
+    k, fit = len(x), _fit_columns(len(x))
+    design = _design(k)
+    rows = panel_order(_residuals(panel, keys, y, x).select(*keys, "ticker", "d", "_e", *fit, *(f"_z{i}" for i in range(k))), keys, block, lags)
+    u = rows.select(*keys, "_block", "_at", "_own", "_e", *fit, *((F.col("_e") * design[i]).alias(f"_u{i}") for i in range(k + 1)))
     ordered = W.partitionBy(*keys, "_block").orderBy("_at")
-    lagged = u.select("*", *(F.lag(f"_u{i}", l).over(ordered).alias(f"_u{i}_{l}") for i in range(k) for l in range(1, lags + 1))).where("_own")
+    lagged = u.select("*", *(F.lag(f"_u{i}", l).over(ordered).alias(f"_u{i}_{l}") for i in range(k + 1) for l in range(1, lags + 1))).where("_own")
 
     def cell(i: int, j: int) -> Column:
         out = F.sum(F.col(f"_u{i}") * F.col(f"_u{j}"))
         for l in range(1, lags + 1):
             both = F.col(f"_u{i}") * F.col(f"_u{j}_{l}") + F.col(f"_u{j}") * F.col(f"_u{i}_{l}")
             out = out + (1 - l / (lags + 1)) * F.coalesce(F.sum(both), F.lit(0.0))
-        return out.alias(f"_m{i}_{j}")
+        return out.alias(f"_v{i}_{j}")
 
-    meat = lagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_e") * F.col("_e")).alias("_rss"), *(cell(i, j) for i, j in _pairs(k)), *_first(k))
+    meat = lagged.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("_e") * F.col("_e")).alias("_rss"), *(cell(i, j) for i, j in _pairs(k + 1)), *(F.first(c).alias(c) for c in fit)
+    )
     return _with_errors(meat, keys, x, False, min_obs)
 
 
@@ -190,9 +212,13 @@ def monthly_summary(monthly: DataFrame, cut: float = 2.0) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(name, n, mean, sd, min, p25, p50, p75, max) of each column, with exact quartiles."""
-    long = df.unpivot([], list(columns), "name", "x").where("x IS NOT NULL")
-    return long.groupBy("name").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"),
-        *(F.percentile("x", F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)), F.max("x").alias("max"),
-    )
+    """(name, n, mean, sd, min, p25, p50, p75, max) of each column that has a value, with exact quartiles.
+
+    Quartiles come from the frequencies of the values (see ``weighted_profile``), so no column is gathered in one task.
+    """
+    long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], list(columns), "name", "x").where("x IS NOT NULL AND NOT isnan(x)")
+    spread = long.groupBy(F.col("name").alias("key")).agg(F.stddev_samp("x").alias("sd"))
+    profile = weighted_profile(value_frequencies(long, "name", "x"), (0.25, 0.5, 0.75))
+    return profile.join(spread, "key").select(
+        F.col("key").alias("name"), F.col("n_values").alias("n"), "mean", "sd", F.col("min_value").alias("min"), "p25", "p50", "p75", F.col("max_value").alias("max")
+    )

@@ -22,10 +22,10 @@ def coverage(posts: DataFrame, expected: DataFrame | None = None) -> DataFrame:
 
 
 def daily_counts(posts: DataFrame, forums: Sequence[str], rolling: int = 7) -> DataFrame:
-    """(day, *forums, total, rolling_mean): posts of each day and forum, and the mean of the totals over ``rolling`` days that have posts, null
-    before there are as many."""
-    day = posts.where("created_utc IS NOT NULL").groupBy(F.to_date("created_utc").alias("day")).pivot("subreddit", list(forums)).agg(F.count(F.lit(1)))
-    filled = day.fillna(0, list(forums)).withColumn("total", sum((F.col(f"`{f}`") for f in forums), F.lit(0)).cast("long"))
+    """(day, *forums, total, rolling_mean): posts of each day in some forums, a column each, and of the day in all, those of other forums and of
+    none counted; and the mean of the totals over ``rolling`` days that have posts, null before there are as many."""
+    of_forum = (F.count_if(F.col("subreddit") == f).alias(f) for f in forums)
+    filled = posts.where("created_utc IS NOT NULL").groupBy(F.to_date("created_utc").alias("day")).agg(*of_forum, F.count(F.lit(1)).alias("total"))
     last = W.orderBy("day").rowsBetween(1 - rolling, 0)
     return filled.withColumn("rolling_mean", F.when(F.count("total").over(last) == rolling, F.avg("total").over(last)))
 
@@ -36,7 +36,8 @@ def daily_forum_counts(posts: DataFrame, rolling: int = 7) -> DataFrame:
     forum count as ``NO_FORUM``.
     """
     counts = posts.where("created_utc IS NOT NULL").groupBy(F.to_date("created_utc").alias("day"), F.coalesce("subreddit", F.lit(NO_FORUM)).alias("subreddit")).agg(F.count(F.lit(1)).alias("n"))
-    grid = counts.select("day").distinct().crossJoin(F.broadcast(counts.select("subreddit").distinct()))
+    forums = counts.agg(F.array_sort(F.collect_set("subreddit"))).scalar()  # names of forums only
+    grid = counts.select("day").distinct().withColumn("subreddit", F.explode(forums))
     filled = grid.join(counts, ["day", "subreddit"], "left").select("day", "subreddit", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
     total = counts.groupBy("day").agg(F.sum("n").alias("n")).select("day", F.lit(TOTAL).alias("subreddit"), "n")
     last = W.partitionBy("subreddit").orderBy("day").rowsBetween(1 - rolling, 0)
@@ -104,7 +105,15 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def spot_check(scored: DataFrame, posts: DataFrame, n: int = 10, seed: int = 7, chars: int = 80) -> DataFrame:
-    """``n`` scored rows, picked by a hash of document, ticker and seed, with the head of their text; one join, by document."""
-    picked = scored.select("doc_id", "subreddit", "ticker", "score_pos", "score_neg", "score_neu").distinct().orderBy(F.md5(F.concat_ws("|", "doc_id", "ticker", F.lit(str(seed)))), "doc_id", "ticker").limit(n)
-    heads = posts.groupBy("doc_id").agg(F.min(F.substring("text", 1, chars)).alias("text_head"))
+    """``n`` different scored rows, picked by a hash of document, ticker and seed, with the head of their text.
+
+    The least hashes are wanted, so rows with greater ones are dropped where they are read: hashes are even, and the bound lets some
+    twenty times ``n`` pass of the estimated number of different pairs. What is left of the posts is those of the picked documents.
+    """
+    named = scored.select("doc_id", "subreddit", "ticker", "score_pos", "score_neg", "score_neu", F.md5(F.concat_ws("|", "doc_id", "ticker", F.lit(str(seed)))).alias("_hash"))
+    share = F.least(F.lit(1.0), F.try_divide(F.lit(20.0 * n), named.agg(F.approx_count_distinct("_hash")).scalar().cast("double")))
+    low = named.where(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") <= share * float(1 << 32))
+    picked = low.distinct().orderBy("_hash", "doc_id", "ticker", "subreddit", "score_pos", "score_neg", "score_neu").limit(n).drop("_hash")
+    wanted = posts.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")  # n rows at most
+    heads = wanted.groupBy("doc_id").agg(F.min(F.substring("text", 1, chars)).alias("text_head"))
     return picked.join(heads, "doc_id", "left").withColumn("raw_id", F.element_at(F.split("doc_id", "/"), -1))

@@ -23,13 +23,16 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def _signal(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+def _signal(scored: DataFrame, by: list[str] | None = None, outcome: DataFrame | None = None) -> DataFrame:
     """The factors with 9 places: products with logarithms that are equal by arithmetic must tie in every engine.
 
-    The cells are written once, as what follows reads them several times and the scored rows are many more.
+    With ``outcome``, its column ret is joined to the cells, before each becomes a row per factor.
     """
     by = by or []
-    return factor_variants(staged(daily_cells(scored, by), "cells"), by).withColumn("value", F.round("value", 9))
+    cells = daily_cells(scored, by)
+    if outcome is not None:
+        cells = cells.join(outcome.select("d", "ticker", "ret"), ["d", "ticker"], "left")
+    return factor_variants(cells, by, keep=[] if outcome is None else ["ret"]).withColumn("value", F.round("value", 9))
 
 
 def trade_date_roll(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +74,7 @@ def _padded(panel: str, spark: SparkSession, sf: str) -> DataFrame:
 
 def _ic(panel: str, spark: SparkSession, sf: str) -> DataFrame:
     x = PANELS[panel](spark, sf)
-    return daily_rank_ic(_signal(x.scored), forward_returns(x.closed, HORIZON), x.calendar, min_pairs=MIN_PAIRS[panel])
+    return staged(daily_rank_ic(_signal(x.scored, outcome=forward_returns(x.closed, HORIZON)), None, x.calendar, min_pairs=MIN_PAIRS[panel]), "ic")
 
 
 def _ic_daily(panel: str, spark: SparkSession, sf: str) -> DataFrame:
@@ -93,8 +96,8 @@ def _ic_by_forum(panel: str, spark: SparkSession, sf: str) -> DataFrame:
     """Per forum and pooled, in one job."""
     x = PANELS[panel](spark, sf)
     keys = ["subreddit", "variant"]
-    signal = _signal(by_forum_and_pooled(x.scored), ["subreddit"])
-    ic = daily_rank_ic(signal, forward_returns(x.closed, HORIZON), x.calendar, keys, MIN_PAIRS[panel])
+    signal = _signal(by_forum_and_pooled(x.scored), ["subreddit"], forward_returns(x.closed, HORIZON))
+    ic = staged(daily_rank_ic(signal, None, x.calendar, keys, MIN_PAIRS[panel]), "ic")
     return _rounded(inference.ic_summary(ic, keys), "mean_ic", "plain_t", "nw_t")
 
 
@@ -112,12 +115,12 @@ def cumulative_ic(spark: SparkSession, sf: str) -> DataFrame:
 
 def _signals(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     x = PANELS["weekly"](spark, sf)
-    sent = factor_variants(staged(daily_cells(x.scored), "cells")).where("variant = 'mean_sent'").select("d", "ticker", "value")
+    sent = daily_cells(x.scored).select("d", "ticker", F.col("m").alias("value"))
     return {"sent": sent, "mom": momentum(x.closed, x.calendar), "rev": reversal(x.closed), "fwd": forward_returns(x.closed, HORIZON)}
 
 
 def _spearman(spark: SparkSession, sf: str) -> DataFrame:
-    s = _signals(spark, sf)
+    s = {k: staged(v, k) for k, v in _signals(spark, sf).items() if k != "fwd"}  # each takes part in two pairs
     pairs = [daily_spearman(s[a], s[b]).select(F.lit(f"{a}_{b}").alias("pair"), "d", "rho") for a, b in (("sent", "mom"), ("sent", "rev"), ("mom", "rev"))]
     return pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
 
@@ -146,7 +149,7 @@ def _weights(long_only: bool, spark: SparkSession, sf: str) -> DataFrame:
 
 def _daily(long_only: bool, panel: str, spark: SparkSession, sf: str) -> DataFrame:
     x = PANELS[panel](spark, sf)
-    return backtest.backtest_daily(_signal(x.scored), forward_returns(x.closed, 1), x.calendar, x.closed, long_only=long_only)
+    return backtest.backtest_daily(staged(_signal(x.scored), "signal"), forward_returns(x.closed, 1), x.calendar, x.closed, long_only=long_only)
 
 
 def _backtest_daily(long_only: bool, panel: str, spark: SparkSession, sf: str) -> DataFrame:
@@ -161,7 +164,8 @@ def _backtest_summary(long_only: bool, panel: str, spark: SparkSession, sf: str)
 
 
 def _panel(spark: SparkSession, sf: str) -> DataFrame:
-    return inference.stack_panel(**_signals(spark, sf))
+    """Written once, as regressions read it several times."""
+    return staged(inference.stack_panel(**_signals(spark, sf)), "panel")
 
 
 REGRESSORS = ["sent", "mom", "rev"]
@@ -207,16 +211,16 @@ def ols_pooled_hac(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ols_pooled_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Its table of coefficients with p-values, for which DuckDB has no function."""
+    """Its table of coefficients with p-values."""
     return _rounded(_pooled(spark, sf), *_FIT, "p")
 
 
 def ols_pooled_by_forum(spark: SparkSession, sf: str) -> DataFrame:
     """A pooled regression per forum; fewer than 100 rows give no coefficients."""
     x = PANELS["weekly"](spark, sf)
-    sent = factor_variants(daily_cells(x.scored, ["subreddit"]), ["subreddit"]).where("variant = 'mean_sent' AND value IS NOT NULL").select("subreddit", "d", "ticker", F.col("value").alias("sent"))
+    sent = daily_cells(x.scored, ["subreddit"]).select("subreddit", "d", "ticker", F.col("m").alias("sent")).where("subreddit IS NOT NULL AND sent IS NOT NULL")
     rest = inference.stack_panel(mom=momentum(x.closed, x.calendar), rev=reversal(x.closed), fwd=forward_returns(x.closed, HORIZON))
-    return _rounded(inference.ols_hac(sent.join(rest, ["d", "ticker"]), ["subreddit"], "fwd", REGRESSORS, min_obs=LEAST_ROWS["subreddit"]).drop("p"), *_FIT)
+    return _rounded(inference.ols_hac(staged(sent.join(rest, ["d", "ticker"]), "panel"), ["subreddit"], "fwd", REGRESSORS, min_obs=LEAST_ROWS["subreddit"]).drop("p"), *_FIT)
 
 
 def _spikes(panel: str, spark: SparkSession, sf: str) -> DataFrame:
@@ -474,6 +478,11 @@ ORACLE |= {
     "ols_monthly_summary": f"""{_STACK}, mst AS (SELECT *, strftime(d, '%Y-%m') AS month FROM stack), {_ols_sql('mst', 'month', False)}
       SELECT name, count(*) AS n_months, round(avg(beta), 5) AS mean_beta, round(avg(z), 5) AS mean_t, count(*) FILTER (WHERE z > 2) AS n_above, count(*) FILTER (WHERE z < -2) AS n_below FROM fit GROUP BY name""",
     "ols_pooled_hac": f"{_STACK}, pst AS (SELECT *, 'ALL' AS pool FROM stack), {_ols_sql('pst', 'pool', True)} SELECT * FROM fit",
+    # p = 1 - erf(x) for x = |z| / sqrt(2), by the series 2 / sqrt(pi) exp(-x^2) sum 2^k x^(2k+1) / (2k+1)!!, which has no negative term
+    "ols_pooled_table": f"""{_STACK}, pst AS (SELECT *, 'ALL' AS pool FROM stack), {_ols_sql('pst', 'pool', True)},
+      pv AS (SELECT long.name, CASE WHEN abs(beta / se) > 8 THEN 0 ELSE 1 - 2 / sqrt(pi()) * exp(-pow(abs(beta / se), 2) / 2) * (SELECT sum(exp(2 * k * ln(2) + (2 * k + 1) * ln(abs(beta / se) / sqrt(2)) - lgamma(2 * k + 2) + lgamma(k + 1)))
+        FROM generate_series(0, 400) AS g(k)) END AS p FROM long)
+      SELECT fit.*, round(p, 6) AS p FROM fit JOIN pv USING (name)""",
     "ols_pooled_by_forum": f"{_FORUM_STACK}, {_ols_sql('fst', 'subreddit', True)} SELECT * FROM fit",
     "event_car_points": ORACLE["event_car_weekly"].replace("WHERE k = 21", """WHERE k = 21 AND "offset" IN (1, 5, 10)"""),
     "case_study_daily": f"""WITH {SQL['forum']}, {cells_sql()},

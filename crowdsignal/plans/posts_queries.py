@@ -62,10 +62,7 @@ def forum_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forum_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """A presentation of the four main forums side by side; total and rolling mean are of these four.
-
-    All forums, and the total of all posts, are in ``forum_daily_long``.
-    """
+    """The four main forums side by side, and total and rolling mean of all posts of the day; ``forum_daily_long`` has a row per forum."""
     return quality.daily_counts(_posts(spark, sf), FORUMS).withColumn("rolling_mean", F.round("rolling_mean", 6))
 
 
@@ -135,7 +132,7 @@ QUERIES = {
 _SPACE = r"[\s\x{1c}-\x{1f}\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _strip = lambda c: f"nullif(regexp_replace({c}, '^{_SPACE}|{_SPACE}$', '', 'g'), '')"
 _POSTS = f"""
-posts AS (SELECT * FROM (SELECT 'leukipp/' || subreddit || '/' || coalesce(id, 'nan') AS doc_id, subreddit, try_strptime(created, '%Y-%m-%d %H:%M:%S') AS created_utc,
+posts AS (SELECT * FROM (SELECT 'leukipp/' || coalesce(subreddit, 'nan') || '/' || coalesce(id, 'nan') AS doc_id, subreddit, try_strptime(created, '%Y-%m-%d %H:%M:%S') AS created_utc,
   concat_ws(' ', {_strip("title")}, {_strip("selftext")}) AS text, CASE WHEN NOT isnan(score) THEN score END AS score, false AS is_comment
   FROM submissions_reddit) WHERE length(text) > 0 AND created_utc IS NOT NULL)"""
 _ALLOWED = "allowed AS (SELECT DISTINCT upper(replace(symbol, '.', '-')) AS ticker FROM tickers WHERE symbol IS NOT NULL AND upper(replace(symbol, '.', '-')) NOT IN ({}))".format(
@@ -159,7 +156,7 @@ ORACLE = {
     "lexicon_score": f"WITH {_POSTS}, {_TONE} SELECT doc_id, {_SCORES} FROM tone",
     "model_score": f"WITH {_POSTS}, {_TONE} SELECT doc_id, {_SCORES} FROM tone",
     "forum_coverage": f"WITH {_POSTS} SELECT subreddit, count(*) AS n_rows, CAST(min(created_utc) AS DATE) AS first_day, CAST(max(created_utc) AS DATE) AS last_day FROM posts WHERE subreddit IS NOT NULL GROUP BY 1",
-    "forum_daily_counts": f"""WITH {_POSTS}, c AS (SELECT CAST(created_utc AS DATE) AS day, {_DAY_COUNTS} FROM posts GROUP BY 1), t AS (SELECT *, {" + ".join(FORUMS)} AS total FROM c)
+    "forum_daily_counts": f"""WITH {_POSTS}, t AS (SELECT CAST(created_utc AS DATE) AS day, {_DAY_COUNTS}, count(*) AS total FROM posts GROUP BY 1)
       SELECT *, CASE WHEN count(*) OVER w = 7 THEN round(avg(total) OVER w, 6) END AS rolling_mean FROM t WINDOW w AS (ORDER BY day ROWS 6 PRECEDING)""",
     "forum_daily_long": f"""WITH {_POSTS}, r AS (SELECT CAST(created_utc AS DATE) AS day, coalesce(subreddit, '{quality.NO_FORUM}') AS subreddit FROM posts),
       g AS (SELECT * FROM (SELECT DISTINCT day FROM r), (SELECT DISTINCT subreddit FROM r)),

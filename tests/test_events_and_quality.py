@@ -39,6 +39,18 @@ def test_windows(spark):
     assert len(by_forum) == 42 and by_forum["y", 3] == (0, 0.0) and by_forum["x", 3][0] == 2
 
 
+def test_events_between_sessions_count_as_the_next_one(spark):
+    sessions = [k for k in range(60) if day(k).weekday() < 5]
+    prices = spark.createDataFrame([(day(k), s, 100.0 + (k * k) % 7 + j) for k in sessions for j, s in enumerate("AB")], "date date, symbol string, close double")
+    calendar = session_calendar(prices)
+    closed = closes(prices, calendar)
+    saturday = next(k for k in range(25, 60) if day(k).weekday() == 5)
+    events = spark.createDataFrame([(day(saturday), "A"), (day(saturday + 2), "A"), (day(-3), "A"), (day(90), "A")], "d date, ticker string")
+    out = event_windows(events, closed, calendar)
+    cars = {d: [r["car"] for r in out.where(F.col("d") == d).orderBy("offset").collect()] for d in (day(saturday), day(saturday + 2))}
+    assert out.select("d").distinct().count() == 2 and cars[day(saturday)] == cars[day(saturday + 2)] and len(cars[day(saturday)]) == 21
+
+
 def test_market_of_a_symbol(spark):
     r = spark.createDataFrame([(0, "SPY", 0.5), (0, "A", 0.1), (1, "A", 0.2)], "i int, ticker string, ret double")
     assert {x["i"]: x["market"] for x in market_returns(r).collect()} == {0: 0.5, 1: None}
@@ -65,6 +77,7 @@ def test_reports(spark, posts):
     assert {r["subreddit"]: r["n_rows"] for r in quality.coverage(posts, forums).collect()} == {"x": 2, "absent": 0}
     daily = quality.daily_counts(posts, ["x", "y"], rolling=2).orderBy("day").collect()
     assert [(r["x"], r["y"], r["total"], r["rolling_mean"]) for r in daily] == [(1, 0, 1, None), (1, 1, 2, 1.5)]
+    assert [(r["x"], r["total"]) for r in quality.daily_counts(posts, ["x"]).orderBy("day").collect()] == [(1, 1), (1, 2)]
     scored = spark.createDataFrame([("a", "x", "T", 0.0), ("a", "x", "U", 1.0), ("c", "y", "T", 0.5), ("q", "z", "T", None)], "doc_id string, subreddit string, ticker string, score_pos double")
     rates = {r["subreddit"]: (r["n_posts"], r["n_linked"], r["link_rate"]) for r in quality.link_rates(posts, scored).collect()}
     assert rates == {"x": (2, 1, 0.5), "y": (1, 1, 1.0), "z": (0, 1, None), "TOTAL": (3, 3, 1.0)}

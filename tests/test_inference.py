@@ -87,6 +87,27 @@ def test_hac_across_tickers_and_blocks(spark, block):
         assert out[name]["lower"] == pytest.approx(b[k] - 1.959963984540054 * var[k, k] ** 0.5)
 
 
+def test_columns_far_from_zero_do_not_cancel(spark):
+    df, rows = panel(spark)
+    far = df.select("ticker", "d", (F.col("a") + 1e8).alias("a"), (F.col("b") * 1e-3 + 5e4).alias("b"), "c", (F.col("y") - 1e7).alias("y")).withColumn("g", F.lit(1))
+    near = {r["name"]: r for r in ols_hac(df.withColumn("g", F.lit(1)), ["g"], "y", ["a", "b", "c"]).collect()}
+    out = {r["name"]: r for r in ols_hac(far, ["g"], "y", ["a", "b", "c"]).collect()}
+    for name, scale in (("a", 1), ("b", 1e3), ("c", 1)):
+        assert (out[name]["beta"], out[name]["se"]) == pytest.approx((near[name]["beta"] * scale, near[name]["se"] * scale), rel=1e-5)
+    assert out["a"]["r2"] == pytest.approx(near["a"]["r2"], rel=1e-6)
+
+
+def test_many_groups_are_solved_together(spark):
+    df, rows = panel(spark, 700)
+    out = {(r["ticker"], r["name"]): r for r in ols_robust(df, ["ticker"], "y", ["a", "b", "c"]).collect()}
+    assert len(out) == 28
+    for ticker in ("T0", "T6"):
+        x, y, inverse, b, e = fitted([r for r in rows if r[0] == ticker])
+        var = inverse @ (x.T * e**2 @ x) @ inverse * len(y) / (len(y) - 4)
+        for k, name in enumerate(["const", "a", "b", "c"]):
+            assert (out[ticker, name]["beta"], out[ticker, name]["se"]) == pytest.approx((b[k], var[k, k] ** 0.5))
+
+
 def test_small_and_singular_groups(spark):
     df, _ = panel(spark, 40)
     out = ols_hac(df.withColumn("g", F.lit("x")), ["g"], "y", ["a", "b", "c"], min_obs=100).collect()

@@ -39,7 +39,10 @@ def extract_tickers(text: Column, allowed: Column) -> Column:
     ``array_intersect`` makes a set of its second array for every text. So the allowed symbols, which are many, are first held against the
     few candidates; the second step restores the order.
     """
-    found = candidates(text)
+    return _of_found(candidates(text), allowed)
+
+
+def _of_found(found: Column, allowed: Column) -> Column:
     return F.array_intersect(found, F.array_intersect(allowed, found))
 
 
@@ -52,10 +55,12 @@ def allowed_symbols(tickers: DataFrame) -> Column:
 def link_posts(posts: DataFrame, tickers: DataFrame) -> DataFrame:
     """Posts with at least one ticker, in the array column ``tickers``.
 
-    Filters are pushed below projections, their expressions with them, so the filter is one that is cheaper than the column.
+    A text is searched once: what was found is put out by an explode of one row to one, below which Spark doesn't push the filter
+    with its expression.
     """
     allowed = allowed_symbols(tickers)
-    return posts.where(F.arrays_overlap(candidates(F.col("text")), allowed)).withColumn("tickers", extract_tickers(F.col("text"), allowed))
+    searched = posts.withColumn("_found", F.explode_outer(F.array(candidates(F.col("text")))))
+    return searched.where(F.arrays_overlap("_found", allowed)).withColumn("tickers", _of_found(F.col("_found"), allowed)).drop("_found")
 
 
 def fan_out(linked: DataFrame) -> DataFrame:

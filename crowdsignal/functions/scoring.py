@@ -44,25 +44,50 @@ class Model(Protocol):
 
 
 _MODELS: dict[str, Model] = {}
+#: The tones in the order of SCORES.
+TONES = ("positive", "negative", "neutral")
 
 
-def model_scores(df: DataFrame, text: str, name: str, load: Callable[[], Model], batch_size: int = 32) -> DataFrame:
+def tone_columns(labels: Sequence[str]) -> list[int]:
+    """Where a model that names its columns ``labels`` has the positive, the negative and the neutral one; names are told by three letters.
+
+    ValueError if one is missing or named twice, as columns taken for one another would turn every score.
+    """
+    heads = [label.strip().lower()[:3] for label in labels]
+    if bad := [t for t in TONES if heads.count(t[:3]) != 1]:
+        raise ValueError(f"{bad} must each be named once among {list(labels)}")
+    return [heads.index(t[:3]) for t in TONES]
+
+
+def usable_device(capability: Callable[[], tuple[int, int] | None], least: tuple[int, int] = (7, 0)) -> str:
+    """``cuda`` where the worker's device is at least of that compute capability; ``cpu`` for older ones and where there is none."""
+    found = capability()
+    return "cuda" if found is not None and tuple(found) >= least else "cpu"
+
+
+def model_scores(
+    df: DataFrame, text: str, name: str, load: Callable[..., Model], batch_size: int = 32, labels: Sequence[str] | None = None, device: Callable[[], str] | None = None, most_tokens: int | None = None
+) -> DataFrame:
     """``df`` with the scores of a model that each Python worker loads once, under ``name``; texts go to it in small batches.
 
-    Blank and null texts get null scores and never reach the model.
+    Blank and null texts get null scores and never reach the model. ``labels`` are the names of the model's columns, if they aren't in the
+    order of SCORES (see ``tone_columns``). ``load`` is called in the worker, with the keyword ``device`` if that is given, of which
+    the worker is asked, and with ``most_tokens`` if that is, the length at which a model that can't read on cuts a text.
     """
+    order = tone_columns(labels) if labels is not None else [0, 1, 2]
+    given = {} if most_tokens is None else {"most_tokens": most_tokens}
     schema = T.StructType([*(f for f in df.schema.fields if f.name not in SCORES), *(T.StructField(c, T.FloatType()) for c in SCORES)])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if name not in _MODELS:
-            _MODELS[name] = load()
+            _MODELS[name] = load(**given, **({"device": device()} if device else {}))
         for batch in batches:
             texts = batch[text]
             rows = np.flatnonzero([isinstance(t, str) and bool(t.strip()) for t in texts])
             rows = rows[np.argsort([len(texts.iloc[r]) for r in rows], kind="stable")]  # texts of like length together
             scores = np.full((len(batch), 3), np.nan, np.float32)
             for at in range(0, len(rows), batch_size):
-                scores[rows[at : at + batch_size]] = _MODELS[name]([texts.iloc[r] for r in rows[at : at + batch_size]])
+                scores[rows[at : at + batch_size]] = np.asarray(_MODELS[name]([texts.iloc[r] for r in rows[at : at + batch_size]]))[:, order]
             out = batch.drop(columns=[c for c in SCORES if c in batch])
             for k, c in enumerate(SCORES):
                 out[c] = pd.array(scores[:, k], dtype="Float32")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from crowdsignal.functions.text import TIMESTAMP_FORMAT, na_to_null, unicode_strip
 from crowdsignal.schemas import require
 
+#: The forums of the archive.
 FORUMS = ("wallstreetbets", "stocks", "investing", "options")
 
 
@@ -39,10 +40,21 @@ def read_archive(spark: SparkSession, root: str, forums: Sequence[str] = FORUMS,
     return normalise_posts(reduce(DataFrame.unionByName, parts), archive)
 
 
+def write_archive(raw: DataFrame, root: str, forums: Sequence[str] = FORUMS) -> None:
+    """Write raw submissions as an archive of CSV files that ``read_archive`` reads; posts of other forums, or of none, are left out.
+
+    A forum's file is a folder of parts. A cell that reads as missing comes back as null.
+    """
+    for forum in forums:
+        own = raw.where(F.col("subreddit") == forum).drop("subreddit", "retrieved_on")
+        own.write.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{root}/{forum}/submissions_reddit.csv")
+
+
 def normalise_posts(raw: DataFrame, archive: str = "leukipp") -> DataFrame:
     """(doc_id, subreddit, created_utc, text, score, is_comment) of raw submissions.
 
-    Text is the stripped title and body with a blank between, of those that aren't blank. A missing id reads ``nan``. Times and
+    Text is the stripped title and body with a blank between, of those that aren't blank. A missing id or forum reads ``nan`` in doc_id, which is
+    never null; the forum itself stays null. Times and
     numbers that don't parse are null, as is a score of NaN; rows without text or time are dropped.
     """
     require(raw, "id", "created", "title", "selftext", "score", "subreddit")
@@ -51,7 +63,7 @@ def normalise_posts(raw: DataFrame, archive: str = "leukipp") -> DataFrame:
     some = lambda c: F.coalesce(F.col(c).rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
     # that a part isn't blank is seen at its first sign, which is cheaper to filter by than the text
     return raw.where(some("title") | some("selftext")).select(
-        F.concat(F.lit(f"{archive}/"), F.col("subreddit"), F.lit("/"), F.coalesce("id", F.lit("nan"))).alias("doc_id"),
+        F.concat(F.lit(f"{archive}/"), F.coalesce("subreddit", F.lit("nan")), F.lit("/"), F.coalesce("id", F.lit("nan"))).alias("doc_id"),
         "subreddit",
         F.try_to_timestamp("created", F.lit(TIMESTAMP_FORMAT)).alias("created_utc"),
         F.concat_ws(" ", part("title"), part("selftext")).alias("text"),

@@ -24,11 +24,14 @@ def spread(df: DataFrame, least_rows: int = 20_000) -> DataFrame:
 def bounded_sample(df: DataFrame, id_: str, rows: int, seed: int = 0) -> DataFrame:
     """About ``rows`` rows of a table, and never more than 1.2 times as many; the whole table if it is no larger.
 
-    Rows are chosen by a hash of their id, so the choice depends on neither files nor tasks; nothing is sorted or gathered.
+    Rows are chosen by a hash of their id, so the choice depends on neither files nor tasks; few pass the bound on the hash. If more do
+    than may, as where one id has many rows, those of least hash are kept, whichever task reads them.
     """
     share = min(1.0, rows / max(1, df.count()))
-    chosen = df if share == 1.0 else df.where(F.pmod(F.xxhash64(id_, F.lit(seed)), F.lit(1 << 32)) < int(share * (1 << 32)))
-    return chosen.limit(rows * 6 // 5)
+    if share == 1.0:
+        return df
+    drawn = F.pmod(F.xxhash64(id_, F.lit(seed)), F.lit(1 << 32))
+    return df.where(drawn < int(share * (1 << 32))).orderBy(drawn, id_).limit(rows * 6 // 5)
 
 
 def timed_submissions(posts: DataFrame) -> DataFrame:

@@ -37,8 +37,8 @@ def score_stream(raw: DataFrame, tickers: DataFrame, scored: Callable[[DataFrame
 
 
 def daily_cells_stream(scored: DataFrame, time: str = "created_utc", late: str = "3 days") -> DataFrame:
-    """(d, ticker, s, m, n) by UTC day and ticker; a day is put out once its watermark has passed, and later rows of it are dropped."""
-    timed = scored.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    """(d, ticker, s, m, n) by UTC day and ticker, rows without one left out; a day is put out once its watermark has passed, and later rows of it are dropped."""
+    timed = scored.where("ticker IS NOT NULL").withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     cells = timed.groupBy(F.window(time, "1 day"), "ticker").agg(F.coalesce(F.sum(polarity()), F.lit(0.0)).alias("s"), F.avg(polarity()).alias("m"), F.count(F.lit(1)).alias("n"))
     return cells.select(F.to_date("window.start").alias("d"), "ticker", "s", "m", "n")
 

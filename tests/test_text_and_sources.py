@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from crowdsignal.functions.linking import BLACKLIST, candidates, extract_tickers, fan_out, link_posts
-from crowdsignal.functions.scoring import SCORES, lexicon_model, lexicon_scores, model_scores, score_linked
+from crowdsignal.functions.scoring import SCORES, lexicon_model, lexicon_scores, model_scores, score_linked, tone_columns, usable_device
 from crowdsignal.functions.text import contributor, letters_and_digits, na_to_null, number, unicode_strip
 from crowdsignal.schemas import require
-from crowdsignal.session import staged
-from crowdsignal.sources.posts import normalise_posts, read_archive, symbols, write_scored
+from crowdsignal.session import release, staged
+from crowdsignal.sources.posts import normalise_posts, read_archive, symbols, write_archive, write_scored
 from crowdsignal.sources.tables import bounded_sample
 
 PROBE = "$AAPL TSLA's xAMZN AAPL_ AAPLs NASDAQ BRK.B BRK-B ABCDEFG éAAPL AAPLé F $F A T AAPL2 2AAPL $BRK.B AAPL中 COO WELL,ON"
@@ -18,6 +18,21 @@ def values(spark, expr, *texts):
     return [r[0] for r in spark.createDataFrame([(t,) for t in texts], "x string").select(expr(F.col("x"))).collect()]
 
 
+def test_columns_of_a_model_are_told_by_their_names(spark):
+    assert tone_columns(["Neutral", "positive", "NEGATIVE"]) == [1, 2, 0] and tone_columns(["pos", "neg", "neu"]) == [0, 1, 2]
+    for labels in (["positive", "negative"], ["positive", "positive ", "negative", "neutral"], ["LABEL_0", "LABEL_1", "LABEL_2"]):
+        with pytest.raises(ValueError):
+            tone_columns(labels)
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, text string")
+
+    def load(device, most_tokens):
+        return lambda texts: [[0.125, 0.25, 0.5 if (device, most_tokens) == ("cpu", 512) else 0.0] for _ in texts]
+
+    out = model_scores(df, "text", "turned", load, labels=["neutral", "positive", "negative"], device=lambda: usable_device(lambda: (6, 1)), most_tokens=512)
+    assert sorted((r["id"], *(r[c] for c in SCORES)) for r in out.collect()) == [(1, 0.25, 0.5, 0.125), (2, None, None, None)]
+    assert [usable_device(lambda c=c: c) for c in ((7, 0), (8, 6), (6, 9), None)] == ["cuda", "cuda", "cpu", "cpu"]
+
+
 def test_contributor(spark):
     names = [" Abc ", "u/Abc", "/u/abc", "ABC", "a_bc", "[deleted]", None, "", " u/x", "uu/x"]
     assert values(spark, contributor, *names) == ["abc", "abc", "abc", "abc", "a_bc", None, None, "", "x", "uu/x"]
@@ -100,6 +115,25 @@ def test_staged_and_samples(spark):
     assert bounded_sample(df.limit(0), "id", 10).count() == 0
 
 
+def test_staged_tables_are_released(spark):
+    out = staged(spark.range(5).toDF("x"), "some")
+    path = out.inputFiles()[0]
+    assert out.count() == 5 and release(spark) >= 1
+    from pathlib import Path
+
+    assert not Path(path.removeprefix("file://")).exists() and release(spark) == 0
+
+
+def test_archive_round_trip(spark, tmp_path):
+    texts = ["plain", ' two\nlines, "quoted" ', "\\ back\\", "NA", None, "ünï 中"]
+    raw = spark.createDataFrame([(f"i{k}", "me", "2021-01-01 10:00:00", t, "  body", 1.5, 3, "stocks", k) for k, t in enumerate(texts)] + [("z", "me", "2021-01-01 10:00:00", "other", None, 1.0, 1, "elsewhere", 9)],
+                                "id string, author string, created string, title string, selftext string, score double, num_comments bigint, subreddit string, retrieved_on int")
+    write_archive(raw, str(tmp_path), ["stocks"])
+    back = {r["doc_id"]: r["text"] for r in read_archive(spark, str(tmp_path), ["stocks"]).collect()}
+    expected = normalise_posts(raw.where("subreddit = 'stocks'").withColumn("title", na_to_null(F.col("title"))))
+    assert back == {r["doc_id"]: r["text"] for r in expected.collect()} and len(back) == 6
+
+
 def test_stripping_is_linear_in_runs_of_blanks(spark):
     import time
 

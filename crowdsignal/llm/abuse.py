@@ -20,21 +20,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crowdsignal.llm.abuse_text import FOREIGN, NAME, NUMBER, PAD, Reader, known_words, loaded_words, made_up, plain, unmarked
+from crowdsignal.llm.abuse_text import NAME, NUMBER, PAD, Reader, alike_words, foreign_phrases, known_words, loaded_words, made_up, plain, unmarked
 from crowdsignal.sources.tables import bounded_sample, spread
 
 CLASSES = ("none", "abuse", "hate", "sexual")
 WIDTHS = (1, 2, 3, 4)
 GAP = max(WIDTHS) - 1  # pads between sentences, so that no window sees two
 BUCKETS, DIM, FILTERS = 1 << 15, 24, 24
-LETTER_GROUPS = 10  # of a word at most, besides the word
+#: Words of a training batch, pads counted: long sentences come in smaller batches.
+BATCH_WORDS = 12_000
 
 #: Bounds of what is fitted on: labelled rows, unlabelled rows, made-up phrases.
 LABELLED_ROWS, UNLABELLED_ROWS, MADE_UP = 20_000, 4_000, 9_000
 #: Each phrase of another language counts so many times.
 FOREIGN_TIMES = 4
-#: One of so many labelled rows is held out from the network that sets the thresholds; the one that scores learns from all.
+#: Longer texts aren't fitted on, so that the samples are bounded in bytes too. They are scored whole like all others.
+MOST_SAMPLE_CHARS = 50_000
+#: One of so many labelled rows and phrases of other languages isn't learnt from: the thresholds are set by the network's scores of these.
 HELD_OUT = 5
+#: A language's own threshold and that over all count alike where it has so many held-out rows, as do that over all and 0.5.
+PRIOR_ROWS = 30
 #: A sentence all of whose words occur in so many of the unlabelled texts counts as clean, unless a word is listed as loaded.
 COMMON_SHARE = 0.002
 
@@ -57,7 +62,7 @@ def buckets(word: str) -> list[int]:
     if word in (NUMBER, NAME):
         return [zlib.crc32(word.encode()) % BUCKETS]
     edged = f"<{word}>"
-    groups = [edged[i : i + n] for n in (3, 4) for i in range(len(edged) - n + 1)][:LETTER_GROUPS]
+    groups = [edged[i : i + n] for n in (3, 4) for i in range(len(edged) - n + 1)]
     return [zlib.crc32(x.encode()) % BUCKETS for x in (f"={word}", *groups)]
 
 
@@ -69,6 +74,18 @@ def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[starts], np.add.reduceat(rows[order], starts, axis=0)
 
 
+def _batches(order: np.ndarray, lengths: np.ndarray, most: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """``order``, in which sentences of like length stand together, cut into batches in random order."""
+    out, at = [], 0
+    while at < len(order):
+        n = most
+        while n > 1 and n * int(lengths[order[at : at + n]].max()) > BATCH_WORDS:
+            n = max(1, min(n // 2, BATCH_WORDS // int(lengths[order[at : at + n]].max())))
+        out.append(order[at : at + n])
+        at += n
+    return [out[k] for k in rng.permutation(len(out))]
+
+
 class Network:
     """The weights: a table of embeddings, a bank of filters per width, and the output layer."""
 
@@ -83,11 +100,11 @@ class Network:
         return cls(normal(BUCKETS, DIM, scale=0.5), banks, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], normal(FILTERS * len(WIDTHS), len(CLASSES), scale=0.1), np.zeros(len(CLASSES), np.float32))
 
     def vectors(self, words: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(words), DIM), np.float32)
-        for k, w in enumerate(words):
-            if rows := buckets(w):
-                out[k] = self.table[rows].mean(0)
-        return out
+        """The mean of the table's rows of each word, which isn't PAD."""
+        rows = [buckets(w) for w in words]
+        sizes = np.array([len(r) for r in rows])
+        flat = self.table[np.array([i for r in rows for i in r])]
+        return np.add.reduceat(flat, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -100,11 +117,13 @@ def train_network(sentences: Sequence[Sequence[str]], labels: Sequence[int], wei
     rng = np.random.default_rng(seed)
     net = Network.new(rng)
     vocab = {PAD: 0}
-    coded = [np.array([vocab.setdefault(w, len(vocab)) for w in s[:60]], np.int32) for s in sentences]
-    rows = [buckets(w) for w in vocab]
-    most = LETTER_GROUPS + 1
-    table_rows = np.array([r + [0] * (most - len(r)) for r in rows], np.int32)
-    share = np.array([[1 / len(r)] * len(r) + [0.0] * (most - len(r)) if r else [0.0] * most for r in rows], np.float32)
+    coded = [np.array([vocab.setdefault(w, len(vocab)) for w in s], np.int32) for s in sentences]
+    rows = [buckets(w) or [0] for w in vocab]  # a pad's row has no share
+    sizes = np.array([len(r) for r in rows])
+    begins = np.cumsum(sizes) - sizes
+    flat_rows = np.array([i for r in rows for i in r], np.int32)
+    share = (1 / sizes).astype(np.float32)
+    share[0] = 0
     y, weight = np.asarray(labels), np.asarray(weights, np.float32)
     params = [*net.banks, *net.biases, net.out, net.out_bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
@@ -114,10 +133,8 @@ def train_network(sentences: Sequence[Sequence[str]], labels: Sequence[int], wei
     for epoch in range(epochs):
         order = rng.permutation(len(coded))
         order = order[np.argsort(lengths[order] // 4, kind="stable")]  # sentences of like length together
-        starts = rng.permutation(np.arange(0, len(order), batch))
         pace = rate * (1 - epoch / epochs)
-        for at in starts:
-            chosen = order[at : at + batch]
+        for chosen in _batches(order, lengths, batch, rng):
             n, longest = len(chosen), int(lengths[chosen].max())
             ids = np.zeros((n, longest + GAP), np.int32)
             for k, c in enumerate(chosen):
@@ -125,8 +142,12 @@ def train_network(sentences: Sequence[Sequence[str]], labels: Sequence[int], wei
             ids[(rng.random(ids.shape) < 0.05)] = 0
             used, inverse = np.unique(ids, return_inverse=True)
             inverse = inverse.reshape(ids.shape)
-            keep = share[used] * (rng.random((len(used), most)) > 0.15)  # without some letter groups, or the word itself
-            vectors = np.einsum("ukd,uk->ud", net.table[table_rows[used]], keep)
+            own = sizes[used]
+            ends = np.cumsum(own)
+            owner = np.repeat(np.arange(len(used)), own)
+            touched_rows = flat_rows[np.arange(ends[-1]) + np.repeat(begins[used] - ends + own, own)]
+            keep = share[used][owner] * (rng.random(len(owner)) > 0.15)  # without some letter groups, or the word itself
+            vectors = np.add.reduceat(net.table[touched_rows] * keep[:, None], ends - own, axis=0)
             x = vectors[inverse]
             inside = np.arange(longest)[None, :] < lengths[chosen][:, None]
             windows = [x[:, j : j + longest].reshape(-1, DIM) for j in range(max(WIDTHS))]
@@ -165,7 +186,7 @@ def train_network(sentences: Sequence[Sequence[str]], labels: Sequence[int], wei
                 p -= pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             _, gu = _summed(inverse.ravel(), gx.reshape(-1, DIM))
             real = keep > 0
-            touched, total = _summed(table_rows[used][real], (gu[:, None, :] * keep[:, :, None])[real])
+            touched, total = _summed(touched_rows[real], gu[owner[real]] * keep[real][:, None])
             seen[touched] += (total**2).mean(1)
             net.table[touched] -= 15 * pace * total / np.sqrt(seen[touched])[:, None]
     return net
@@ -280,6 +301,11 @@ def _disguised(sentence: list[str], rng: random.Random) -> list[str]:
     return out
 
 
+def _varied(sentence: list[str], alike: dict[str, list[str]], rng: random.Random) -> list[str]:
+    """The sentence with some of its words replaced by others of their kind, so that it's the turn of phrase that is learnt."""
+    return [rng.choice(alike[w]) if w in alike and rng.random() < 0.6 else w for w in sentence]
+
+
 def _known(labelled: Sequence[tuple[str, str]], tickers: Sequence[str] | None) -> set[str]:
     """The listed words and those that lean to a label in the labelled sample."""
     reader = Reader(KNOWN, USUAL, tickers=tickers)
@@ -288,8 +314,10 @@ def _known(labelled: Sequence[tuple[str, str]], tickers: Sequence[str] | None) -
     return KNOWN | {w for w, x in _leaning(texts).items() if x > 2 and w not in usual and w.isalpha()}
 
 
-def fit(labelled: Sequence[tuple[str, str]], unlabelled: Sequence[str] = (), seed: int = 0, epochs: int = 8, tickers: Sequence[str] | None = None) -> Network:
-    """A network from (text, label) pairs and unlabelled texts.
+def fit(
+    labelled: Sequence[tuple[str, str]], unlabelled: Sequence[str] = (), seed: int = 0, epochs: int = 8, tickers: Sequence[str] | None = None, foreign: Sequence[tuple[str, str]] | None = None, made: int = MADE_UP
+) -> Network:
+    """A network from (text, label) pairs, unlabelled texts, ``made`` made-up phrases and those of other languages (``foreign``, by default all).
 
     A labelled text's sentences are told apart first: its worst one by the leaning of its words carries the label, and after
     a first network, the worst one by that.
@@ -298,13 +326,14 @@ def fit(labelled: Sequence[tuple[str, str]], unlabelled: Sequence[str] = (), see
     known = _known(labelled, tickers)
     reader = Reader(known, USUAL, tickers=tickers)
     texts = [(s, CLASSES.index(label)) for text, label in labelled if label in CLASSES and (s := reader.sentences(text))]
-    phrases = [(s, CLASSES.index(label)) for text, label in made_up(MADE_UP, seed) for s in reader.sentences(text)]
-    phrases += [(s, CLASSES.index(label)) for label, all_ in FOREIGN.items() for text in all_.split("|") for s in reader.sentences(text)] * FOREIGN_TIMES
+    foreign = foreign_phrases() if foreign is None else foreign
+    phrases = [(s, CLASSES.index(label)) for text, label in [*made_up(made, seed), *[x for x in foreign for _ in range(FOREIGN_TIMES)]] for s in reader.sentences(text)]
     plain_texts = [reader.sentences(t) for t in unlabelled]
     others = Counter(tuple(s) for sentences in plain_texts for s in sentences)
     common = _common(plain_texts, COMMON_SHARE * len(unlabelled))
     leaning = _leaning(texts)
     listed = {plain(w) for w in loaded_words()}
+    alike = alike_words()
     loaded = listed | {w for w, x in leaning.items() if x > 2}
     top = lambda s: sum(sorted((leaning.get(w, 0.0) for w in s), reverse=True)[:3])
     net = None
@@ -334,14 +363,15 @@ def fit(labelled: Sequence[tuple[str, str]], unlabelled: Sequence[str] = (), see
 
         for (s, label), k in zip(texts, worst, strict=True):
             if label:
-                for _ in range(4):
-                    add(among(s[k]), label, 1.0)
+                for times in range(4):
+                    add(among(_varied(s[k], alike, rng) if times else s[k]), label, 1.0)
                 for p in (p for i, p in enumerate(s) if i != k):
                     add(p, 0, 0.3)
             else:
                 for p in s:
                     add(p, 0, 1.0, spoil=False)
-                    add(among(p), 0, 0.5)
+                    add(among(_varied(p, alike, rng)), 0, 0.5)
+                    add(_varied(p, alike, rng), 0, 0.5, spoil=False)
         for s, label in phrases:
             add(among(s) if label or rng.random() < 0.3 else s, label, 0.7, spoil=rng.random() < 0.5)
         for s in clean:
@@ -356,9 +386,11 @@ def fit(labelled: Sequence[tuple[str, str]], unlabelled: Sequence[str] = (), see
     return net
 
 
-def language_thresholds(net: Network, labelled: Sequence[tuple[str, str]], least_rows: int = 30) -> np.ndarray:
-    """The threshold of each language, and of others last: the one of best F1 over its labelled rows, those with few rows
-    taking the threshold over all."""
+def language_thresholds(net: Network, labelled: Sequence[tuple[str, str]]) -> np.ndarray:
+    """The threshold of each language, and of others last, from rows that the network hasn't learnt from.
+
+    It is the one of best F1 over the language's rows, drawn towards the one over all rows: with n rows its own counts n, the common one
+    PRIOR_ROWS; the common one is drawn towards 0.5 in the same way. A language without rows, or with clean ones only, takes the common one; 0.5 without any row."""
     scorer = Scorer(net)
     known = [(t, label) for t, label in labelled if label in CLASSES]
     if not known:
@@ -373,8 +405,20 @@ def language_thresholds(net: Network, labelled: Sequence[tuple[str, str]], least
         f1 = np.array([2 * (truth[rows] & (scores[rows] >= g)).sum() / max(1, truth[rows].sum() + (scores[rows] >= g).sum()) for g in grid])
         return float(np.median(grid[f1 >= f1.max() - 1e-9]))
 
-    overall = best(np.ones(len(known), bool))
-    return np.array([best(languages == k) if (languages == k).sum() >= least_rows else overall for k in range(len(LANGUAGES) + 1)])
+    overall = (len(known) * best(np.ones(len(known), bool)) + PRIOR_ROWS * 0.5) / (len(known) + PRIOR_ROWS)
+    out = []
+    for k in range(len(LANGUAGES) + 1):
+        rows = languages == k
+        out.append((rows.sum() * best(rows) + PRIOR_ROWS * overall) / (rows.sum() + PRIOR_ROWS) if truth[rows].any() else overall)
+    return np.array(out)
+
+
+def fit_held_out(labelled: Sequence[tuple[str, str]], unlabelled: Sequence[str], seed: int = 0, tickers: Sequence[str] | None = None, made: int = MADE_UP) -> tuple[Network, np.ndarray]:
+    """A network and the thresholds of its own scores, from the labelled rows and foreign phrases that it hasn't learnt from."""
+    foreign = foreign_phrases()
+    learnt = lambda rows: [x for k, x in enumerate(rows) if k % HELD_OUT]
+    net = fit(learnt(labelled), unlabelled, seed, tickers=tickers, foreign=learnt(foreign) if made else (), made=made)
+    return net, language_thresholds(net, [*labelled[::HELD_OUT], *foreign[::HELD_OUT]])
 
 
 def score_content(df: DataFrame, id_: str, parts: Sequence[str], labels: DataFrame, keep: Sequence[str] = (), seed: int = 0, tickers: Sequence[str] | None = None) -> DataFrame:
@@ -382,7 +426,8 @@ def score_content(df: DataFrame, id_: str, parts: Sequence[str], labels: DataFra
 
     ``labels`` has the columns label_id, text and label (null labels are skipped). Score is the chance that the worst
     sentence is of a kind to be flagged, label its likeliest kind, ``none`` where the row isn't flagged. Null, empty and
-    wordless texts score 0. ``tickers`` are the words in capitals that name stocks; without them all short ones are taken to. Texts are read whole; repeated rows are scored each; an empty table gives an empty one.
+    wordless texts score 0. ``tickers`` are the words in capitals that name stocks; without them all short ones are taken to. Texts are read
+    whole; repeated rows are scored each (see ``per_submission``); an empty table gives an empty one. Scores have six places.
 
     The driver fits the network on bounded samples chosen by hash: about LABELLED_ROWS and UNLABELLED_ROWS. Its weights, some 3 MB
     whatever the data, are broadcast, and rows are scored where they are read.
@@ -390,12 +435,12 @@ def score_content(df: DataFrame, id_: str, parts: Sequence[str], labels: DataFra
     spark = df.sparkSession
     if clashing := {id_, *keep} & {"score", "label", "language", "flagged"}:
         raise ValueError(f"rename the kept columns {sorted(clashing)}, which are names of the result")
-    rows = bounded_sample(labels.where(F.col("label").isNotNull() & F.col("text").isNotNull()), "label_id", LABELLED_ROWS).select("label_id", "text", "label").toPandas().sort_values("label_id")
+    fits = F.length("text") <= MOST_SAMPLE_CHARS
+    rows = bounded_sample(labels.where(F.col("label").isNotNull() & F.col("text").isNotNull() & fits), "label_id", LABELLED_ROWS).select("label_id", "text", "label").toPandas().sort_values("label_id")
     labelled = list(rows[["text", "label"]].itertuples(index=False, name=None))
     text: Column = F.concat_ws(" . ", *(F.col(c).cast("string") for c in parts))
-    sample = bounded_sample(df, id_, UNLABELLED_ROWS, seed).select(df[id_].cast("string").alias("id"), text.alias("text")).where("text <> ''").toPandas().sort_values(["id", "text"])["text"].tolist()
-    partial = fit([x for k, x in enumerate(labelled) if k % HELD_OUT], sample, seed, epochs=4, tickers=tickers)
-    shipped = spark.sparkContext.broadcast((fit(labelled, sample, seed, tickers=tickers), language_thresholds(partial, labelled[::HELD_OUT])))
+    sample = bounded_sample(df, id_, UNLABELLED_ROWS, seed).select(df[id_].cast("string").alias("id"), text.alias("text")).where((F.col("text") != "") & fits).toPandas().sort_values(["id", "text"])["text"].tolist()
+    shipped = spark.sparkContext.broadcast(fit_held_out(labelled, sample, seed, tickers))
     names = [*LANGUAGES, OTHER]
     width = len(parts)
 
@@ -407,6 +452,7 @@ def score_content(df: DataFrame, id_: str, parts: Sequence[str], labels: DataFra
                 part = batch.slice(at, 500)
                 texts = list(zip(*(part.column(k).to_pylist() for k in range(width)), strict=True))
                 scores, kinds, languages = scorer.score(texts)
+                scores = scores.round(6)
                 flagged = scores >= thresholds[languages]
                 shown = [CLASSES[k] if f else "none" for k, f in zip(kinds, flagged, strict=True)]
                 columns = [*(part.column(k) for k in range(width, part.num_columns)), pa.array(scores), pa.array(shown), pa.array([names[k] for k in languages]), pa.array(flagged)]
@@ -416,3 +462,13 @@ def score_content(df: DataFrame, id_: str, parts: Sequence[str], labels: DataFra
     source = spread(df.select(*(df[c].cast("string").alias(f"t{k}") for k, c in enumerate(parts)), *(df[c].alias(f"k{k}") for k, c in enumerate(kept))))
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), "score double, label string, language string, flagged boolean"])
     return source.mapInArrow(work, schema)
+
+
+def per_submission(scored: DataFrame, id_: str, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per id of what ``score_content`` gives: that of the highest score, with the greatest of each kept column.
+
+    Deliveries of one id have the same texts, but their scores may differ in the last places, as they are summed in other batches. So rows
+    are brought together by id alone; rows without an id count as one. Texts, which are long, aren't shuffled for it.
+    """
+    best = F.max(F.struct("score", "label", "language", "flagged")).alias("_best")
+    return scored.groupBy(id_).agg(best, *(F.max(c).alias(c) for c in keep)).select(id_, *keep, "_best.*")

@@ -280,10 +280,21 @@ FOREIGN: dict[str, str] = {
 }
 
 
+def foreign_phrases() -> list[tuple[str, str]]:
+    """(phrase, label) pairs in the other languages."""
+    return [(text, label) for label, phrases in FOREIGN.items() for text in phrases.split("|")]
+
+
 def _lists() -> dict[str, list[str]]:
     return {k: v.split("|") if "|" in v else v.split() for k, v in WORDS.items()}
 
 
+def alike_words() -> dict[str, list[str]]:
+    """Of single words that say what kind of person or thing is meant, the others of their list."""
+    lists = _lists()
+    return {plain(w): alike for k in ("bad", "slur", "body", "lust", "thing", "people") if (alike := [plain(x) for x in lists[k] if x.isalpha()]) for w in lists[k] if w.isalpha()}
+
+
 def loaded_words() -> set[str]:
     """Single words that make a phrase worth a second look."""
     lists = _lists()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdsignal.llm.abuse import score_content
+from crowdsignal.llm.abuse import per_submission, score_content
 from crowdsignal.llm.capping import capped, over_cap
 from crowdsignal.llm.copies import collapsed, copies
 from crowdsignal.llm.encoding import token_counts, token_ids
@@ -21,9 +21,9 @@ def _tickers(spark: SparkSession, sf: str) -> list[str]:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Every submission once; deliveries of one id have the same texts and so the same score."""
+    """Every submission once."""
     scored = score_content(table(spark, sf, "submissions_reddit"), "id", ["title", "selftext"], table(spark, sf, "moderation_labels"), ["subreddit"], tickers=_tickers(spark, sf))
-    return scored.distinct()
+    return per_submission(scored, "id", ["subreddit"])
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,6 +46,13 @@ def p1_rates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p1_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """What p1_rates must hold whatever the classifier says: each submission once, kinds that add up, shares of it."""
+    rates = p1_rates(spark, sf)
+    whole = (F.col("n_abuse") + F.col("n_hate") + F.col("n_sexual") == F.col("n_flagged")) & (F.abs(F.col("share") * F.col("n_submissions") - F.col("n_flagged")) < 1e-6)
+    return rates.select("subreddit", "n_submissions", whole.alias("adds_up"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Submissions that are not kept when each contributor keeps the 25 of highest score."""
     return over_cap(scored_submissions(table(spark, sf, "submissions_reddit")), "contributor", "score", "id", 25).select("id")
@@ -101,7 +108,7 @@ def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
     return garbled_documents(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_rates, p3_found, p3_sample, p5_found, p5_sets, p6_ids, p6_tokens_by_source, p7_containers, p7_fill, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_rates, p1_coverage, p3_found, p3_sample, p5_found, p5_sets, p6_ids, p6_tokens_by_source, p7_containers, p7_fill, p8_found, p8_restored)}
 
 _CONTRIBUTOR = "nullif(lower(regexp_replace(trim(author), '^/?u/', '')), '[deleted]')"
 _LEAF = "lower(regexp_replace(coalesce({}, ''), '[^\\pL\\pN]+', '', 'g'))"
@@ -111,6 +118,7 @@ k AS (SELECT id, least(a, b) AS a, greatest(a, b) AS b FROM r WHERE length(a) +
 s AS (SELECT *, min(id) OVER (PARTITION BY a, b) AS keep_id FROM k)"""
 
 ORACLE = {
+    "p1_coverage": "SELECT subreddit, count(*) AS n_submissions, true AS adds_up FROM (SELECT id, max(subreddit) AS subreddit FROM submissions_reddit GROUP BY id) GROUP BY subreddit",
     "p3_found": f"""SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY c ORDER BY score DESC NULLS LAST, id) AS i FROM (
       SELECT id, {_CONTRIBUTOR} AS c, max(CASE WHEN NOT isnan(score) THEN score END) AS score FROM submissions_reddit GROUP BY 1, 2) WHERE c IS NOT NULL) WHERE i > 25""",
     "p5_found": _COPIES + "SELECT keep_id, id FROM s WHERE id <> keep_id",

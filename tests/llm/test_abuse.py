@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from crowdsignal.llm.abuse import CLASSES, LANGUAGES, Scorer, fit, language_thresholds, score_content
+from crowdsignal.llm.abuse import BATCH_WORDS, CLASSES, LANGUAGES, Scorer, _batches, buckets, fit, fit_held_out, language_thresholds, per_submission, score_content
 from crowdsignal.llm.abuse_text import NAME, NUMBER, Reader, known_words, made_up
 
 CLEAN = ["I read three reports on shipping this week.", "My plan is to buy the dip and then wait.", "I am a miserable jackass for selling early.", "What an ugly week, the chart looks like shit.", "Our rules forbid hate speech and personal attacks.", "The account is at $4,232.79 after a messy month."]
@@ -55,7 +55,7 @@ def test_a_text_scores_as_its_worst_part(net):
 
 
 def test_table(spark):
-    labels = spark.createDataFrame([(k, t, "none") for k, t in enumerate(CLEAN)] + [(k + 100, t, x) for k, (t, x) in enumerate(BAD)] + [(300, "x", None), (301, None, "abuse")], "label_id bigint, text string, label string")
+    labels = spark.createDataFrame([(k, t, "none") for k, t in enumerate(CLEAN * 3)] + [(k + 100, t, x) for k, (t, x) in enumerate(BAD * 3)] + [(300, "x", None), (301, None, "abuse")], "label_id bigint, text string, label string")
     rows = [("a", CLEAN[0], BAD[1][0]), ("b", BAD[4][0], None), ("c", CLEAN[1], CLEAN[5]), ("d", None, None), ("d", None, None), (None, "", "?!")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "id string, title string, selftext string, k0 int")
     out = score_content(df, "id", ["title", "selftext"], labels, ["k0"]).collect()
@@ -67,6 +67,36 @@ def test_table(spark):
         score_content(df.withColumnRenamed("k0", "score"), "id", ["title"], labels, ["score"])
 
 
+def test_words_are_read_to_their_end():
+    long = "antidisestablishmentarianism"
+    assert set(buckets(long)) - set(buckets(long[:-1])) and len(buckets(long)) == 1 + (len(long) + 2 - 2) + (len(long) + 2 - 3)
+
+
+def test_long_sentences_are_learnt_whole():
+    rng = np.random.default_rng(0)
+    lengths = np.array([3, 5, 8, 60, 5000, 20_000])
+    batches = _batches(np.arange(6), lengths, 4, rng)
+    assert sorted(np.concatenate(batches)) == list(range(6)) and all(len(b) == 1 or len(b) * lengths[b].max() <= BATCH_WORDS for b in batches)
+    filler = "the market moved a little and we all waited for the numbers to come out while it did " * 10
+    net = fit([(f"{filler} you vurblewort", "abuse")] * 8 + [(filler, "none")] * 8 + [(t, "none") for t in CLEAN * 2], epochs=12, made=0, foreign=[])
+    scores, _, _ = Scorer(net).score([[f"{filler} you vurblewort"], [filler]])
+    assert scores[0] > scores[1] + 0.2
+
+
+def test_thresholds_are_of_rows_not_learnt_from():
+    rows = [(t, "none") for t in CLEAN * 10] + BAD * 10
+    net, thresholds = fit_held_out(rows, [])
+    assert thresholds.shape == (len(LANGUAGES) + 1,) and (thresholds > 0.2).all() and (thresholds < 0.95).all()
+    assert (language_thresholds(net, []) == 0.5).all()
+
+
+def test_one_row_per_submission(spark):
+    rows = [("a", "x", 0.5, "none", "en", False), ("a", "x", 0.500001, "abuse", "en", True), ("b", None, 0.1, "none", "de", False), (None, "x", 0.0, "none", "en", False), (None, "x", 0.2, "none", "en", False)]
+    df = spark.createDataFrame(rows, "id string, subreddit string, score double, label string, language string, flagged boolean")
+    out = sorted(map(tuple, per_submission(df, "id", ["subreddit"]).collect()), key=str)
+    assert out == sorted([("a", "x", 0.500001, "abuse", "en", True), ("b", None, 0.1, "none", "de", False), (None, "x", 0.2, "none", "en", False)], key=str)
+
+
 @pytest.mark.parametrize(
     ("text", "words"),
     [

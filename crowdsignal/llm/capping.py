@@ -46,7 +46,8 @@ def reservoir_keys(score: Column, id_: Column, kind: str, temperature: float, se
     exponential = -F.log(ordered_draw(id_, kind) if temperature == 0 else hashed_draw(id_, seed))
     if temperature == 0:
         return score, -exponential
-    return F.log1p(F.greatest(score, F.lit(0.0))) - F.lit(float(temperature)) * F.log(exponential), -exponential
+    weighed = F.log1p(F.greatest(score, F.lit(0.0))) - F.lit(float(temperature)) * F.log(exponential)
+    return F.when(score.isNotNull(), weighed), -exponential
 
 
 def _marked(records: DataFrame, contributor: str, score: str, id_: str, cap: int, temperature: float, seed: int, rows_per_task: int) -> DataFrame:

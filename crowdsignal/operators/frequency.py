@@ -53,8 +53,8 @@ def _binned(valued: DataFrame, values_per_bin: int) -> DataFrame:
     counts = valued.groupBy("key").agg(F.count(F.lit(1)).alias("_values"))
     limit = F.greatest(F.lit(float(values_per_bin)), valued.agg(F.count(F.lit(1)) / MOST_HOT_KEYS).scalar())
     large = counts.where(F.col("_values") > limit).select("key")
-    places = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
-    cuts = valued.join(F.broadcast(large), "key").groupBy("key").agg(F.percentile_approx("value", places, 2000).alias("_cuts"))
+    places = ", ".join(f"{k / (CUTS + 1)}D" for k in range(1, CUTS + 1))
+    cuts = valued.join(F.broadcast(large), "key").groupBy("key").agg(F.expr(f"percentile_approx(value, array({places}), 2000)").alias("_cuts"))
     below = lambda part: F.size(F.filter(part, lambda c: c < F.col("value")))
     # a cut in sixteen first, then the sixteen cuts between: 32 comparisons instead of 255
     coarse = below(F.array(*(F.col("_cuts")[k] for k in range(_STEP - 1, CUTS, _STEP))))
@@ -72,9 +72,10 @@ def weighted_profile(freq: DataFrame, probs: Sequence[float] = (0.25, 0.5, 0.9),
 
     Cumulative weights need the values of a key in order, which one task would get in a plain window over the key.
     Here the values of a key that has more than ``values_per_bin`` are first laid into bins between approximate quantiles, so that a
-    window sees one bin of one key; the bins of a key, at most 256, are accumulated on their own.
+    window sees one bin of one key; the bins of a key, at most 256, are accumulated on their own. The frequencies, which several steps
+    read, are written once.
     """
-    freq = freq.where(F.col("key").isNotNull())
+    freq = staged(freq.where(F.col("key").isNotNull()), "frequencies")
     valued = freq.where(F.col("value").isNotNull()).select("key", F.col("value").cast("double").alias("value"), "n")
     binned = _binned(valued, values_per_bin)
     bins = binned.groupBy("key", "bin").agg(F.sum("n").alias("bin_n"))

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 from pathlib import Path
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame
 
 from crowdsignal.sources.tables import spread
 
+T = TypeVar("T")
+
 #: Fixed value: the pattern that cuts a text before merging, as published with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -85,18 +89,24 @@ class Encoder:
         self.to_byte = {ord(c): b for b, c in self.to_char.items()}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def encode_batch(self, texts: Sequence[str | None]) -> list[list[int]]:
-        """Ids of each text; none for an empty or null one."""
+    def _each(self, texts: Sequence[str | None], wanted: Callable[[Iterator[tuple[int, ...]]], T]) -> list[T]:
+        """What ``wanted`` makes of the ids of each text's pieces, one after the other."""
         if len(self.known) > MOST_KEPT_PIECES:
             self.known.clear()
-        known, out = self.known, []
-        for text in texts:
-            parts = self.cut(text) if text else []
-            if new := [p for p in dict.fromkeys(parts) if p not in known]:
-                mapped = [p.encode().decode("latin-1").translate(self.to_char) for p in new]
-                known.update(zip(new, map(tuple, self.pieces.encode(mapped)), strict=True))
-            out.append([i for p in parts for i in known[p]])
-        return out
+        known = self.known
+        parts = [self.cut(text) if text else [] for text in texts]
+        if new := list(set(chain.from_iterable(parts)).difference(known)):
+            mapped = [p.encode().decode("latin-1").translate(self.to_char) for p in new]
+            known.update(zip(new, map(tuple, self.pieces.encode(mapped, num_threads=1)), strict=True))
+        return [wanted(map(known.__getitem__, p)) for p in parts]
+
+    def encode_batch(self, texts: Sequence[str | None]) -> list[list[int]]:
+        """Ids of each text; none for an empty or null one."""
+        return self._each(texts, lambda pieces: list(chain.from_iterable(pieces)))
+
+    def count_batch(self, texts: Sequence[str | None]) -> list[int]:
+        """The number of ids of each text."""
+        return self._each(texts, lambda pieces: sum(map(len, pieces)))
 
     def decode(self, ids: Sequence[int]) -> str:
         return "".join(map(self.pieces.id_to_piece, map(int, ids))).translate(self.to_byte).encode("latin-1").decode()
@@ -113,7 +123,7 @@ def worker_encoder(model: bytes) -> Encoder:
     return _ENCODERS[key]
 
 
-def _encoded(df: DataFrame, id_: str, text: str, ranks: str, schema: str, column) -> DataFrame:
+def _encoded(df: DataFrame, id_: str, text: str, ranks: str, schema: str, column: Callable[[Encoder, list[str | None]], pa.Array]) -> DataFrame:
     model = df.sparkSession.sparkContext.broadcast(model_bytes(read_ranks(ranks)))  # a fixed size, some 1.2 MB
     kind = df.schema[id_].dataType.simpleString()
 
@@ -122,7 +132,7 @@ def _encoded(df: DataFrame, id_: str, text: str, ranks: str, schema: str, column
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # bounds the ids that are held at once
                 part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), column(encoder.encode_batch(part.column(1).to_pylist()))], names=["id", "out"])
+                yield pa.RecordBatch.from_arrays([part.column(0), column(encoder, part.column(1).to_pylist())], names=["id", "out"])
 
     out = spread(df.select(df[id_].alias("id"), df[text].cast("string").alias("text"))).mapInArrow(work, f"id {kind}, out {schema}")
     return out.withColumnRenamed("id", id_)
@@ -130,7 +140,7 @@ def _encoded(df: DataFrame, id_: str, text: str, ranks: str, schema: str, column
 
 def _list_column(rows: list[list[int]]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array([i for r in rows for i in r], pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, ends[-1])))
 
 
 def token_ids(df: DataFrame, id_: str, text: str, ranks: str = DEFAULT_RANKS, name: str = "ids") -> DataFrame:
@@ -139,12 +149,12 @@ def token_ids(df: DataFrame, id_: str, text: str, ranks: str = DEFAULT_RANKS, na
     Null and empty texts have no ids (an empty list); the strings of special tokens are ordinary text; rows are kept as
     they are, repeated ones too. The rank file is read by the driver only.
     """
-    return _encoded(df, id_, text, ranks, "array<int>", _list_column).withColumnRenamed("out", name)
+    return _encoded(df, id_, text, ranks, "array<int>", lambda encoder, texts: _list_column(encoder.encode_batch(texts))).withColumnRenamed("out", name)
 
 
 def token_counts(df: DataFrame, id_: str, text: str, ranks: str = DEFAULT_RANKS, name: str = "n_tokens") -> DataFrame:
     """(id, n_tokens) of every row's text; 0 for null and empty ones."""
-    return _encoded(df, id_, text, ranks, "int", lambda rows: pa.array(list(map(len, rows)), pa.int32())).withColumnRenamed("out", name)
+    return _encoded(df, id_, text, ranks, "int", lambda encoder, texts: pa.array(encoder.count_batch(texts), pa.int32())).withColumnRenamed("out", name)
 
 
 def decoded(df: DataFrame, id_: str, ids: str, ranks: str = DEFAULT_RANKS, name: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from crowdsignal.operators.calendar import next_sessions, padded_returns
+from crowdsignal.session import staged
 
 
 def mention_spikes(cells: DataFrame, by: Sequence[str] = (), share: float = 0.99, floor: float = 3.0) -> DataFrame:
@@ -32,9 +33,9 @@ def event_windows(events: DataFrame, closed: DataFrame, calendar: DataFrame, win
 
     ``events`` has (*by, d, ticker), d any date, which counts as the first session from it on; d stays as it was. Events outside the
     calendar, windows that reach over either of its ends, and those with a missing return, are dropped. Each event becomes
-    2 * window + 1 rows, joined by equality.
+    2 * window + 1 rows, joined by equality. The returns, which the market's are made of too, are written once.
     """
-    returns = padded_returns(closed, calendar)
+    returns = staged(padded_returns(closed, calendar), "returns")
     abnormal = returns.join(F.broadcast(market_returns(returns)), "i").select("ticker", "i", (F.col("ret") - F.col("market")).alias("ar")).where("ar IS NOT NULL")
     sessions = next_sessions(calendar).select(F.col("day").alias("d"), "i")
     placed = events.select(*by, "d", "ticker").join(F.broadcast(sessions), "d").withColumn("offset", F.explode(F.sequence(F.lit(-window), F.lit(window))))

@@ -36,6 +36,16 @@ def ticker_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return fan_out(link_posts(_posts(spark, sf), table(spark, sf, "tickers"))).select("doc_id", "ticker")
 
 
+#: How many linked posts are taken where only the first are wanted.
+FIRST = 50
+
+
+def first_linked(spark: SparkSession, sf: str) -> DataFrame:
+    """The first linked posts by id, as a run that stops early takes them, with their number of tickers; a top-k, so nothing is sorted whole."""
+    linked = link_posts(_posts(spark, sf), table(spark, sf, "tickers"))
+    return linked.select("doc_id", F.size("tickers").alias("n_tickers")).orderBy("doc_id").limit(FIRST)
+
+
 def _tone(df: DataFrame) -> DataFrame:
     return df.select("doc_id", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in SCORES))
 
@@ -124,7 +134,7 @@ def spot_check(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        posts_normalise, symbol_list, ticker_mentions, lexicon_score, model_score, scored_pipeline, forum_coverage, forum_daily_counts, forum_daily_long, scored_totals, link_rate_rollup,
+        posts_normalise, symbol_list, ticker_mentions, first_linked, lexicon_score, model_score, scored_pipeline, forum_coverage, forum_daily_counts, forum_daily_long, scored_totals, link_rate_rollup,
         ticker_top20, ticker_share, top10_per_forum, bot_author_days, score_means, score_histogram, spot_check,
     )
 }
@@ -152,6 +162,7 @@ ORACLE = {
     "posts_normalise": f"WITH {_POSTS} SELECT * FROM posts",
     "symbol_list": "SELECT DISTINCT upper(replace(symbol, '.', '-')) AS symbol FROM tickers WHERE symbol IS NOT NULL",
     "ticker_mentions": f"{_LINKED} SELECT doc_id, ticker FROM found JOIN numbered USING (k)",
+    "first_linked": f"{_LINKED} SELECT doc_id, count(*) AS n_tickers FROM found JOIN numbered USING (k) GROUP BY k, doc_id ORDER BY doc_id LIMIT {FIRST}",
     "scored_pipeline": f"{_LINKED}, {_TONE.replace('FROM posts', 'FROM numbered')} SELECT doc_id, subreddit, created_utc, ticker, is_comment, score AS doc_score, {_SCORES} FROM found JOIN tone USING (k)",
     "lexicon_score": f"WITH {_POSTS}, {_TONE} SELECT doc_id, {_SCORES} FROM tone",
     "model_score": f"WITH {_POSTS}, {_TONE} SELECT doc_id, {_SCORES} FROM tone",

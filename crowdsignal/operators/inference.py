@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from crowdsignal.operators.frequency import value_frequencies, weighted_profile
+from crowdsignal.session import staged
 
 
 def newey_west(series: DataFrame, keys: Sequence[str], value: str, order: str = "d", lags: int = 5, min_obs: int = 10) -> DataFrame:
@@ -90,8 +91,8 @@ def _solved(moments: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
 def _residuals(panel: DataFrame, keys: Sequence[str], y: str, x: Sequence[str]) -> DataFrame:
     """The panel with centred regressors _z0.., residual _e and the fit of its group.
 
-    Means come first and are taken off, so that cross products don't cancel for columns far from zero. Groups are few, as months or
-    forums are: there is a row of each to broadcast.
+    Means come first and are taken off, so that cross products don't cancel for columns far from zero. Means and fits, a row per group,
+    are written, so that Spark knows their size: it broadcasts them where they are small, as for months or forums, and no others.
     """
     k, keys = len(x), list(keys)
     means = panel.groupBy(*keys).agg(F.avg(y).alias("_my"), *(F.avg(c).alias(f"_m{i}") for i, c in enumerate(x)))
@@ -99,9 +100,10 @@ def _residuals(panel: DataFrame, keys: Sequence[str], y: str, x: Sequence[str])
     z = [F.col(f"_z{i}") for i in range(k)]
     sums = [F.sum(z[i] * z[j]).alias(f"_x{i}_{j}") for i, j in _pairs(k)] + [F.sum(z[i] * F.col("_yc")).alias(f"_xy{i}") for i in range(k)]
     first = [F.first(c).alias(c) for c in means.columns if c not in keys]
-    centred = panel.join(F.broadcast(means), keys).select("*", *centre)
+    means = staged(means, "means")
+    centred = panel.join(means, keys).select("*", *centre)
     fits = _solved(centred.groupBy(*keys).agg(F.sum(F.col("_yc") * F.col("_yc")).alias("_yy"), *first, *sums), keys, k)
-    rows = panel.join(F.broadcast(fits), keys).select("*", *centre)
+    rows = panel.join(staged(fits, "fits"), keys).select("*", *centre)
     return rows.withColumn("_e", F.col("_yc") - sum((F.col(f"_b{i}") * z[i] for i in range(k)), F.lit(0.0)))
 
 
